@@ -1,5 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-_MODULES = ()
+from pagelake.llm import mixing, packing, spam
+
+_MODULES = (packing, mixing, spam)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
