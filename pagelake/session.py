@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
             where = os.path.join(tempfile.gettempdir(), f"pagelake-checkpoint-{os.getpid()}")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagelake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="pagelake-")
+    with zipfile.ZipFile(os.path.join(folder, "pagelake.zip"), "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(os.path.join(folder, "pagelake.zip"))
+    sc._pagelake_shipped = True
