@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from pagelake.llm import leakage, lookalikes, mixing, packing, spam
+from pagelake.llm import language, leakage, lookalikes, mixing, packing, spam
 
-_MODULES = (lookalikes, packing, leakage, mixing, spam)
+_MODULES = (lookalikes, packing, language, leakage, mixing, spam)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
