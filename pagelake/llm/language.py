@@ -7,18 +7,18 @@ the codeword of least logistic loss; the gap to the next one gives the confidenc
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from zlib import crc32
 
-from pagelake.llm.lookalikes import shape
 from pagelake.sources.tables import table
 
 #: Parameters: paragraphs a language of the sample, bits of a codeword, buckets of n-grams, the longest n-gram, ridge, the
@@ -33,9 +33,10 @@ NAMES = {
     "ja": "jpn japanese 日本語", "zh": "zho chi cmn chinese mandarin 中文 汉语 漢語 简体中文 繁體中文", "ar": "ara arabic العربية عربي عربية", "hi": "hin hindi हिन्दी हिंदी", "te": "tel telugu తెలుగు",
 }
 CODES = {w: c for c, ws in NAMES.items() for w in ws.split()} | {c: c for c in NAMES}
-_WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}"
-_WORD = regex.compile(rf"[{_WIDE}ー々]|(?:(?![{_WIDE}])[\p{{L}}\p{{M}}])+")
-_ROMAN = regex.compile(r"[ivxlcdm]+")
+_WIDE = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff]")
+_WORD = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff]|[^\W\d_\u2e80-\u9fff\uf900-\ufaff]+")
+_PLAIN = re.compile(r"[^\W\d_]+")
+_ROMAN = re.compile(r"[ivxlcdm]+")
 
 
 def label_code(label: Column) -> Column:
@@ -47,12 +48,12 @@ def label_code(label: Column) -> Column:
 
 def words(text: str) -> list[str]:
     """Words, and pairs of characters where words are not set apart."""
-    found = _WORD.findall(shape(text).lower())
+    plain = unicodedata.normalize("NFKC", text).lower()
+    if not _WIDE.search(plain):
+        return _PLAIN.findall(plain)
+    found = _WORD.findall(plain)
     single = [len(w) == 1 and w > "\u2e7f" for w in found]
-    if not any(single):
-        return found
-    pairs = [a + b for a, b, x, y in zip(found, found[1:], single, single[1:]) if x and y]
-    return found + pairs
+    return found + [a + b for a, b, x, y in zip(found, found[1:], single, single[1:]) if x and y]
 
 
 def grams(word: str) -> list[int]:
