@@ -23,8 +23,8 @@ from pagelake.session import cut
 from pagelake.sources.tables import table
 
 #: Parameters: words of a cell aimed at, radius in the pivots' metric (two for one edit or swap), and, for the head words
-#: of technical terms, books they must be in and the least share of technical labels.
-CELL, RADIUS, BOOKS, TECHNICAL = 300, 2, 2, 0.75
+#: of technical terms, books and share of the script's books they must be in and the least share of technical labels.
+CELL, RADIUS, BOOKS, BOOK_SHARE, TECHNICAL = 300, 2, 2, 0.02, 0.75
 #: Titles before or after names.
 TITLES = set(
     "dr prof professor capt captain mr mrs ms miss sir lady lord rev esq hon col gen lt sgt maj mme mlle herr frau sr sra don dona sig dott doctor "
@@ -39,10 +39,11 @@ BODIES = {
 SHORT = {a: w for w, xs in BODIES.items() for a in xs.split()} | {"&": "and"}
 IDLE = {"of", "for", "the", "and", "in", "de", "la", "du", "des", "der", "und", "y", "e", "et", "&"}
 #: Given names with their short forms.
-NICKNAMES = """alexander alex sandy sasha alec xander;alexandra sasha sandra;andrew andy drew;anna annie nan nancy;anthony tony;antonio toni tonio;benjamin ben benny;catherine cathy kate kitty
-charles charlie chuck charley carl;christopher chris kit;daniel dan danny;david dave davy;dmitri dima mitya dmitry;dorothy dot dolly dottie dora;edward ed eddie ned ted teddy;ekaterina katya katia kate;eleanor nell nellie ellie nora
+NICKNAMES = """augustine gus gussie austin;agnes aggie nessie;albert al bertie;arthur art artie;barbara babs;caroline carrie;constance connie;eugene gene;florence flo flossie;gertrude trudy gertie;harold harry;hermann manni;jacob jake
+josephine josie;judith judy;lawrence larry laurie;louis lou louie;lucy lulu;oliver ollie noll;penelope penny;raymond ray;stephen steve;timothy tim;victoria vicky;vincent vince;alexander alex sandy sasha alec xander;alexandra sasha sandra;andrew andy drew;anna annie nan nancy;anthony tony;antonio toni tonio;benjamin ben benny;catherine cathy kate kitty
+charles charlie chuck charley carl;christopher chris kit;daniel dan danny;david dave davy;dmitri dima mitya dmitry;dorothy dot dolly dottie dora;edward ed eddie ned ted teddy;ekaterina katya katia katja kate;eleanor nell nellie ellie nora
 elizabeth liz lizzie betty bess beth eliza betsy lisa;emily em emmy;frances fanny frankie fran;francis frank;francisco paco pancho curro;frederick fred freddy;friedrich fritz fiete;george geordie georgie;giovanni gianni nino
-giuseppe beppe peppe pino;heinrich heinz heiner hinz;helen nell nelly;henry hal harry hank;isabella bella izzy isa bell;ivan vanya;james jim jimmy jamie;johannes hans jo johann hannes;john jack johnny;jose pepe;joseph joe jo joey;katherine kate kathy kitty katie kit kath
+giuseppe beppe peppe pino;heinrich heinz heiner hinz hein;helen nell nelly;henry hal harry hank;isabella bella izzy isa bell;ivan vanya;james jim jimmy jamie;johannes hans jo johann hannes;john jack johnny;jose pepe;joseph joe jo joey;katherine kate kathy kitty katie kit kath
 leonora nora lena leo;ludwig lutz;margaret maggie meg peggy madge greta;maria masha mary;martha patty mattie;mary molly polly may;matthew matt;michael mike mick mickey;mikhail misha;nathaniel nat nathan nate;nicholas nick nicky;nikolai kolya;olga olya;patrick pat paddy
 peter pete;philip phil pip;rebecca becky;richard dick rick rich richie;robert bob rob bobby robin bert;samuel sam sammy;sarah sally sadie;sergei seryozha;sophia sophie;susannah sukey susan sue susie sukie;tatiana tanya;theodore theo ted teddy;thomas tom tommy
 vladimir volodya vova;walter walt wat;wilhelm willi willy;william bill will billy willy liam;winifred winnie freda"""
@@ -57,10 +58,12 @@ _SPLIT = re.compile(r"[\s・·=＝/]+")
 
 
 def fold(word: str) -> str:
-    """Lower case, and for Latin letters no accents."""
+    """Lower case, for Latin letters no accents, for Arabic no article."""
     w = word.lower()
     if w.isascii():
         return w
+    if w.startswith("ال") and len(w) > 5:
+        return w[2:]
     d = unicodedata.normalize("NFD", w)
     if any("a" <= c <= "z" for c in d):
         d = "".join(c for c in d if not unicodedata.combining(c)).translate(_LATIN_EXTRA)
@@ -241,17 +244,25 @@ def _features(form: str) -> list[str]:
     out = [w for w in re.split(r"[\s\-・=·\d.,()/]+", text) if len(w) > 1]
     joined = re.sub(r"[\s\-・=·\d.,()/]+", "", text)
     if joined and joined > "⹿":
-        out += ["~" + joined[-k:] for k in range(2, min(7, len(joined)))]
+        out += ["~" + joined[-k:] for k in range(2 if joined[-1] > "㐀" else 3, min(7, len(joined)))]
     return list(dict.fromkeys(out))
 
 
 def technical_heads(labelled: DataFrame) -> DataFrame:
-    """(feature) that marks technical terms, from (book, form, category): in several books, and mostly so labelled."""
+    """(feature, book) that marks technical terms, from (book, form, category).
+
+    book is null for what marks them everywhere: mostly so labelled, in several books and a share of its script's books.
+    Within one book a feature of several labelled forms, all technical, is enough.
+    """
     split = F.pandas_udf(lambda s: s.map(_features), "array<string>")
+    script = F.floor(F.ascii(F.regexp_replace("feature", "^~", "")) / 256)
     one = labelled.where("form is not null").groupBy("book", "form").agg(F.sum(F.when(F.col("category") == "technical_term", 1).when(F.col("category") == "proper_name", -1).otherwise(0)).alias("n"))
     one = one.where("n <> 0").select("book", (F.col("n") > 0).cast("int").alias("tech"), F.explode(split("form")).alias("feature"))
-    per = one.groupBy("feature", "book").agg(F.sum("tech").alias("t"), F.count("*").alias("n"))
-    return per.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("books")).where((F.col("books") >= BOOKS) & (F.col("t") >= TECHNICAL * F.col("n"))).select("feature")
+    per = cut(one.groupBy("feature", "book").agg(F.sum("tech").alias("t"), F.count("*").alias("n")).withColumn("script", script))
+    books = per.select("script", "book").distinct().groupBy("script").agg(F.count("*").alias("of"))
+    every = per.groupBy("feature", "script").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("books")).join(F.broadcast(books), "script")
+    every = every.where((F.col("books") >= F.greatest(F.lit(BOOKS), BOOK_SHARE * F.col("of"))) & (F.col("t") >= TECHNICAL * F.col("n"))).select("feature", F.lit(None).cast("string").alias("book"))
+    return every.union(per.where("n >= 2 and t = n").select("feature", "book"))
 
 
 def _by(batches: Iterator[pd.DataFrame], *by: str) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -340,8 +351,10 @@ def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
     known = labelled.select(F.coalesce("book", F.lit("")).alias("book"), "form", "category")
     f = cut(forms.where("form is not null and trim(form) <> '' and id is not null").select(F.coalesce("book", F.lit("")).alias("book"), "id", "form").distinct())
     split = F.pandas_udf(lambda s: s.map(_features), "array<string>")
-    heads = technical_heads(known)
-    marked = f.select("book", "form").distinct().select("book", "form", F.explode(split("form")).alias("feature")).join(heads, "feature", "left_semi").select("book", "form").distinct().withColumn("head", F.lit(True))
+    heads = cut(technical_heads(known))
+    shown = cut(f.select("book", "form").distinct().select("book", "form", F.explode(split("form")).alias("feature")))
+    marked = shown.join(heads.where("book is null").select("feature"), "feature", "left_semi").union(shown.join(heads.where("book is not null"), ["feature", "book"], "left_semi").select(shown.columns))
+    marked = marked.select("book", "form").distinct().withColumn("head", F.lit(True))
     own = known.groupBy("book", "form").agg(F.sum(F.when(F.col("category") == "technical_term", 1).when(F.col("category") == "proper_name", -1).otherwise(0)).alias("n"))
     f = f.join(marked, ["book", "form"], "left").join(own, ["book", "form"], "left")
     technical = F.coalesce(F.col("head"), F.lit(False)) | (F.coalesce("n", F.lit(0)) > 0)
