@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Stop words of the language heuristic, in the order in which ties are broken.
 STOP_WORDS = {
@@ -20,13 +21,13 @@ STOP_WORDS = {
 BLOCK_TYPES = ["heading", "paragraph", "caption", "footnote", "table", "list_item", "pull_quote", "illustration", "quote", "page_number"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC with line ends as one newline; null stays null."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.replace("\r\n", "\n").replace("\r", "\n")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def term_key(s: pd.Series) -> pd.Series:
     """NFC of the case-folded NFKC form with white space collapsed; null stays null."""
     key = lambda t: unicodedata.normalize("NFC", " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
@@ -49,7 +50,7 @@ def canonical_text(text: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """Column form of :func:`canonical_text`."""
     return s.map(lambda t: None if t is None else canonical_text(t))
@@ -67,7 +68,11 @@ def tagged_hash(tag: str, *parts: Column) -> Column:
 def detect_language(text: Column) -> Column:
     """ja, ko or zh by script, else the language with most stop words, of a tie the first; null if none occurs."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-zA-ZÀ-ÿ]+)"), F.lit(1))
-    hits = {c: F.size(F.filter(words, lambda w, ws=ws: w.isin(*ws))) for c, ws in STOP_WORDS.items()}
+
+    def count(stop: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*stop)))
+
+    hits = {c: count(ws) for c, ws in STOP_WORDS.items()}
     most = F.greatest(*hits.values())
     by_words = F.when(most > 0, F.coalesce(*[F.when(n == most, F.lit(c)) for c, n in hits.items()]))
     return (

@@ -48,7 +48,7 @@ def name_runs(rows: DataFrame, key: list[str], text: str = "text", least: int =
         i = a["i"]
         capital = x["w"].rlike("^[0-9_]*[\\p{Lu}\\p{Lt}]")
         last = F.element_at(a["runs"], -1)
-        goes_on = a["open"] & x["s"].rlike("^\\p{Zs}+$")
+        goes_on = a["open"] & x["s"].rlike("^\\p{Zs}+\\z")
         grown = F.concat(F.slice(a["runs"], 1, F.size(a["runs"]) - 1), F.array(F.struct(last["position"].alias("position"), F.array_append(last["words"], x["w"]).alias("words"))))
         begun = F.array_append(a["runs"], F.struct(i.alias("position"), F.array(x["w"]).alias("words")))
         return F.struct((i + 1).alias("i"), capital.alias("open"), F.when(~capital, a["runs"]).when(goes_on, grown).otherwise(begun).alias("runs"))
@@ -59,7 +59,7 @@ def name_runs(rows: DataFrame, key: list[str], text: str = "text", least: int =
     return out.where(size.between(least, most)).select(*key, F.col("r.position").alias("position"), size.alias("size"), F.array_join("r.words", " ").alias("phrase"))
 
 
-def phrases(rows: DataFrame, block: list[str], text: str = "text", least: int = 2, most: int = 6, within: str | None = None, separator: str = "^[\\p{Zs}\\p{Pd}'’]+$") -> DataFrame:
+def phrases(rows: DataFrame, block: list[str], text: str = "text", least: int = 2, most: int = 6, within: str | None = None, separator: str = "^[\\p{Zs}\\p{Pd}'’]+\\z") -> DataFrame:
     """(within, phrase, size, blocks): word windows of 2 to 6 words, parted by spaces, dashes or apostrophes, in two or more blocks.
 
     Windows are counted once a block before the shuffle.
@@ -77,13 +77,17 @@ def phrases(rows: DataFrame, block: list[str], text: str = "text", least: int =
     return one.groupBy(*group, "phrase", "size").agg(F.count("*").alias("blocks")).where("blocks >= 2")
 
 
+def _marked(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda w: F.struct(w.alias("word"), F.lit(kind).alias("kind")))
+
+
 def technical_words(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key, word, kind): ASCII identifiers with a digit or underscore ('identifier'), words of capitals ('capitals'), two ASCII words joined by - or / ('compound')."""
     t = F.col(text)
     found = F.flatten(
         F.array(
             *[
-                F.transform(F.array_distinct(F.filter(a, f)), lambda w, k=k: F.struct(w.alias("word"), F.lit(k).alias("kind")))
+                _marked(F.array_distinct(F.filter(a, f)), k)
                 for k, a, f in (
                     ("identifier", words(t), lambda w: w.rlike("^[A-Za-z0-9_]*[A-Za-z][A-Za-z0-9_]*$") & w.rlike("[0-9_]")),
                     ("capitals", words(t), lambda w: w.rlike("^\\p{Lu}{2,}$")),
