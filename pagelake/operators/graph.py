@@ -45,6 +45,6 @@ def execution(impacts: DataFrame, produced: DataFrame, base: DataFrame) -> DataF
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node): ends of edges that are no node, both sides."""
-    ends = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
+    """(node): ends of edges that are no node, both sides; null ends are none."""
+    ends = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct().where("node is not null")
     return ends.join(nodes.select("node"), "node", "left_anti")

@@ -135,7 +135,7 @@ def terms_in_texts(terms: DataFrame, texts: DataFrame, book: str, term: str, tex
 
     Met by the term's first word, so each text is joined only with terms it may have; then checked.
     """
-    first = F.element_at(words(F.lower(F.col(term))), 1)
+    first = F.get(words(F.lower(F.col(term))), 0)
     t = terms.where(F.col(term).isNotNull()).withColumn("_w", first).where("_w is not null")
     x = texts.where(F.col(text).isNotNull()).withColumn("_w", F.explode(F.array_distinct(words(F.lower(F.col(text))))))
     padded = lambda c: F.lower(c)
