@@ -353,7 +353,7 @@ def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
     split = F.pandas_udf(lambda s: s.map(_features), "array<string>")
     heads = cut(technical_heads(known))
     shown = cut(f.select("book", "form").distinct().select("book", "form", F.explode(split("form")).alias("feature")))
-    marked = shown.join(heads.where("book is null").select("feature"), "feature", "left_semi").union(shown.join(heads.where("book is not null"), ["feature", "book"], "left_semi").select(shown.columns))
+    marked = shown.join(heads.where("book is null").select("feature"), "feature", "left_semi").unionByName(shown.join(heads.where("book is not null"), ["feature", "book"], "left_semi"))
     marked = marked.select("book", "form").distinct().withColumn("head", F.lit(True))
     own = known.groupBy("book", "form").agg(F.sum(F.when(F.col("category") == "technical_term", 1).when(F.col("category") == "proper_name", -1).otherwise(0)).alias("n"))
     f = f.join(marked, ["book", "form"], "left").join(own, ["book", "form"], "left")

@@ -60,8 +60,8 @@ def repeats(words: list[str]) -> list[int]:
                 q = copy
             link[new] = q
         ends.append(new)
-    for v in ends:
-        inner[link[v]] = True
+    for v in link[1:]:
+        inner[v] = True
     return [length[v] if inner[v] else length[link[v]] for v in ends]
 
 
