@@ -55,19 +55,47 @@ def page_texts(rows: DataFrame, page: str, separator: str = "\n\n") -> DataFrame
     return t.groupBy(page).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), separator).alias("text"))
 
 
+#: Pages of a span: windows run over spans of a book, and spans hand each other their ends, so a long book is no single task.
+SPAN = 256
+
+
+def _spans(rows: DataFrame, book: str, page: str) -> DataFrame:
+    return rows.withColumn("_span", F.floor(F.col(page) / SPAN))
+
+
+def _next_spans(ends: DataFrame, book: str, first: str, last: str) -> DataFrame:
+    """(book, _span, _before, _after): the last of the span before and the first of the span after; one row a span."""
+    w = W.partitionBy(book).orderBy("_span")
+    return ends.select(book, "_span", F.lag(last).over(w).alias("_before"), F.lead(first).over(w).alias("_after"))
+
+
 def neighbours(rows: DataFrame, book: str, order: list[str], value: Column, usable: Column) -> DataFrame:
-    """``rows`` with the value before and after each in its book; a neighbour that is not usable is left out, not skipped."""
-    w = W.partitionBy(book).orderBy(*order)
+    """``rows`` with the value before and after each in its book; a neighbour that is not usable is left out, not skipped.
+
+    order: the page number first, then what makes it total. A null book or page is a group of its own.
+    """
     held = F.struct(usable.alias("ok"), value.alias("v"))
-    take = lambda c: F.when(c["ok"], c["v"])
-    return rows.withColumn("_p", F.lag(held).over(w)).withColumn("_n", F.lead(held).over(w)).withColumn("previous", take(F.col("_p"))).withColumn("following", take(F.col("_n"))).drop("_p", "_n")
+    r = _spans(rows, book, order[0])
+    at = F.struct(*order)
+    ends = r.groupBy(book, "_span").agg(F.min_by(held, at).alias("_first"), F.max_by(held, at).alias("_last"))
+    edge = _next_spans(ends, book, "_first", "_last").withColumnsRenamed({book: "_b", "_span": "_s"})
+    w = W.partitionBy(book, "_span").orderBy(*order)
+    r = r.withColumn("_p", F.lag(held).over(w)).withColumn("_n", F.lead(held).over(w))
+    r = r.join(edge, r[book].eqNullSafe(edge["_b"]) & r["_span"].eqNullSafe(edge["_s"]))
+    before, after = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
+    return r.withColumn("previous", F.when(before["ok"], before["v"])).withColumn("following", F.when(after["ok"], after["v"])).drop("_p", "_n", "_before", "_after", "_span", "_b", "_s")
 
 
 def boundaries(rows: DataFrame, book: str, page: str) -> DataFrame:
     """(book, page, head, tail, previous_tail, next_head): first and last block of each page with those of its neighbours."""
     per = rows.groupBy(book, page).agg(F.min_by("text", F.struct("reading_order", "item")).alias("head"), F.max_by("text", F.struct("reading_order", "item")).alias("tail"))
-    w = W.partitionBy(book).orderBy(page)
-    return per.withColumn("previous_tail", F.lag("tail").over(w)).withColumn("next_head", F.lead("head").over(w))
+    r = _spans(per, book, page)
+    ends = r.groupBy(book, "_span").agg(F.min_by("head", page).alias("_first"), F.max_by("tail", page).alias("_last"))
+    edge = _next_spans(ends, book, "_first", "_last").withColumnsRenamed({book: "_b", "_span": "_s"})
+    w = W.partitionBy(book, "_span").orderBy(page)
+    r = r.withColumn("_p", F.lag("tail").over(w)).withColumn("_n", F.lead("head").over(w))
+    r = r.join(edge, r[book].eqNullSafe(edge["_b"]) & r["_span"].eqNullSafe(edge["_s"]))
+    return r.select(book, page, "head", "tail", F.coalesce("_p", "_before").alias("previous_tail"), F.coalesce("_n", "_after").alias("next_head"))
 
 
 def first_seen(rows: DataFrame, group: str, value: str, order: Column) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.canon import term_positions
 
+#: Salts of a group in a ranking.
+SALTS = 32
 WORD = "([\\p{L}\\p{N}_]+)"
 
 
@@ -114,6 +116,10 @@ def top_candidates(merged: DataFrame, group: str, key: str, limit: int = 64) ->
     If tier 0 alone is more than the limit, only tier 0 is kept. This is a top-k report.
     """
     m = merged.withColumn("n_blocks", F.size("blocks")).withColumn("n_occurrences", F.size("occurrences"))
+    # what is not among the best of its salt is not among the best of its group
+    salt = F.pmod(F.xxhash64(key, "form"), F.lit(SALTS))
+    near = F.row_number().over(W.partitionBy(group, salt).orderBy((F.col("tier") == 0).cast("int"), "tier", F.desc("n_blocks"), F.desc("n_occurrences"), key, "form"))
+    m = m.withColumn("_near", near).where((F.col("tier") == 0) | (F.col("_near") <= limit)).drop("_near")
     protected = F.sum((F.col("tier") == 0).cast("int")).over(W.partitionBy(group))
     rank = F.row_number().over(W.partitionBy(group).orderBy("tier", F.desc("n_blocks"), F.desc("n_occurrences"), key, "form"))
     m = m.withColumn("rank", rank).withColumn("protected", protected)
