@@ -4,7 +4,7 @@ Each task gathers its documents into shards of at most SHARD words and indexes t
 every test item is found by backward search and located by sampled suffix positions. Occurrences of an item in
 a document are chained along the text and stretched over single changed words; a chain that spans a third of the
 item is a leak, and its place in the text is a span to remove. No document meets another, so nothing is shuffled;
-the test items travel to the tasks in blocks of at most BLOCK items.
+the test items travel to the tasks in parts of at most PART letters.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pagelake.llm.fmindex import FMIndex
 from pagelake.sources.tables import table
 
-#: Words of a seed (characters where a script has no spaces), words of a shard, items of a block, the part of an item
-#: that counts as a leak, the least part of a stretch that agrees, how far a stretch may shift at a change, and the
+#: Words of a seed (characters where a script has no spaces), words of a shard, items of a block, letters of items
+#: that travel at once, the part of an item that counts as a leak, the least part of a stretch that agrees, how far a stretch may shift at a change, and the
 #: part of an item's seeds that a document must have before it is looked at closely.
-SEED, SEED_WIDE, SHARD, BLOCK, LEAK, AGREE, SHIFT, DENSE = 4, 7, 400_000, 5_000, 1 / 3, 0.7, 3, 0.06
+SEED, SEED_WIDE, SHARD, BLOCK, PART, LEAK, AGREE, SHIFT, DENSE = 4, 7, 400_000, 5_000, 16_000_000, 1 / 3, 0.7, 3, 0.06
 _WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
 _TOKEN = regex.compile(rf"[{_WIDE}]\p{{M}}*|(?:(?![{_WIDE}])[\p{{L}}\p{{M}}\p{{N}}\p{{Cf}}])+(?:[-­¬‐]\s*\n\s*(?:(?![{_WIDE}])[\p{{L}}\p{{M}}\p{{N}}])+)*")
 _DROP = regex.compile(r"[\p{Cf}\p{Pd}¬\s]+")
@@ -184,8 +184,26 @@ def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, agree: float =
     shorter than a seed is looked for as a whole. Documents above a shard's words are read in pieces that overlap by
     twice the longest item.
     """
-    known = [(r[0], r[1]) for r in items.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id", "text").collect()]
-    known = passages(known)
+    found = None
+    for part in _parts(items):
+        one = _leaks_of(docs, items.schema["item_id"].dataType.simpleString(), part, leak, agree, shard)
+        found = one if found is None else found.union(one)
+    return found.distinct()
+
+
+def _parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items' passages in parts that a broadcast may hold; a larger set of items takes several passes over the documents."""
+    held, size = [], 0
+    for r in items.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1] or "")
+        if size >= PART:
+            yield passages(held)
+            held, size = [], 0
+    yield passages(held)
+
+
+def _leaks_of(docs: DataFrame, item_type: str, known: list[tuple[int, str]], leak: float, agree: float, shard: int) -> DataFrame:
     blocks = docs.sparkSession.sparkContext.broadcast([Block(known[i : i + BLOCK]) for i in range(0, len(known), BLOCK)])
     overlap = 2 * max((len(x[1]) for b in blocks.value for x in b.items), default=0)
 
@@ -212,8 +230,8 @@ def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, agree: float =
         if held:
             yield flush(held)
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, end int, part double"
-    return docs.select("doc_id", "text").mapInPandas(run, kinds).distinct()
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, start int, end int, part double"
+    return docs.select("doc_id", "text").mapInPandas(run, kinds)
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

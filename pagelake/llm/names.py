@@ -364,8 +364,8 @@ def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
     words = cut(f.select("book", "form").distinct().mapInPandas(_emit, "book string, form string, word string"))
     points = words.select("book", "word").distinct()
     counts = points.groupBy("book").agg(F.count("*").alias("n"))
-    chosen = points.join(counts, "book").where(F.pmod(F.xxhash64("word", F.lit(5)), F.col("n")) * CELL < 2 * F.col("n"))
-    # about two pivots for each CELL words; a book without any takes its least word
+    chosen = points.join(counts, "book").where(F.pmod(F.xxhash64("word", F.lit(5)), F.col("n")) < F.sqrt("n"))
+    # about as many pivots as the root of a book's words, so that finding cells and joining in them cost alike; a small book has one
     pivots = chosen.where(F.col("n") > CELL).groupBy("book").agg(F.array_sort(F.collect_set("word")).alias("pivots"))
     single = points.groupBy("book").agg(F.array(F.min("word")).alias("one"))
     pivots = single.join(pivots, "book", "left").select("book", F.coalesce("pivots", "one").alias("pivots"))
