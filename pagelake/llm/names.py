@@ -42,7 +42,7 @@ IDLE = {"of", "for", "the", "and", "in", "de", "la", "du", "des", "der", "und",
 NICKNAMES = """augustine gus gussie austin;agnes aggie nessie;albert al bertie;arthur art artie;barbara babs;caroline carrie;constance connie;eugene gene;florence flo flossie;gertrude trudy gertie;harold harry;hermann manni;jacob jake
 josephine josie;judith judy;lawrence larry laurie;louis lou louie;lucy lulu;oliver ollie noll;penelope penny;raymond ray;stephen steve;timothy tim;victoria vicky;vincent vince;alexander alex sandy sasha alec xander;alexandra sasha sandra;andrew andy drew;anna annie nan nancy;anthony tony;antonio toni tonio;benjamin ben benny;catherine cathy kate kitty
 charles charlie chuck charley carl;christopher chris kit;daniel dan danny;david dave davy;dmitri dima mitya dmitry;dorothy dot dolly dottie dora;edward ed eddie ned ted teddy;ekaterina katya katia katja kate;eleanor nell nellie ellie nora
-elizabeth liz lizzie betty bess beth eliza betsy lisa;emily em emmy;frances fanny frankie fran;francis frank;francisco paco pancho curro;frederick fred freddy;friedrich fritz fiete;george geordie georgie;giovanni gianni nino
+elizabeth liz lizzie betty bess beth eliza betsy lisa;emily em emmy;frances fanny frankie fran;francis frank;francisco paco pancho curro;frederick fred freddy;friedrich fritz fiete fred freddy;george geordie georgie;giovanni gianni nino
 giuseppe beppe peppe pino;heinrich heinz heiner hinz hein;helen nell nelly;henry hal harry hank;isabella bella izzy isa bell;ivan vanya;james jim jimmy jamie;johannes hans jo johann hannes;john jack johnny;jose pepe;joseph joe jo joey;katherine kate kathy kitty katie kit kath
 leonora nora lena leo;ludwig lutz;margaret maggie meg peggy madge greta;maria masha mary;martha patty mattie;mary molly polly may;matthew matt;michael mike mick mickey;mikhail misha;nathaniel nat nathan nate;nicholas nick nicky;nikolai kolya;olga olya;patrick pat paddy
 peter pete;philip phil pip;rebecca becky;richard dick rick rich richie;robert bob rob bobby robin bert;samuel sam sammy;sarah sally sadie;sergei seryozha;sophia sophie;susannah sukey susan sue susie sukie;tatiana tanya;theodore theo ted teddy;thomas tom tommy
@@ -192,7 +192,7 @@ def same(a: Name, b: Name) -> bool:
             return False
         typos = 0
         for w in a.words:
-            fits = [(0 if w == x else 1, x) for x in left if w == x or min(len(w), len(x)) >= 5 and near(w, x) or (w in a.short and x.startswith(w) or x in b.short and w.startswith(x)) and min(len(w), len(x)) > 1]
+            fits = [(0 if w == x else 1, x) for x in left if w == x or min(len(w), len(x)) >= 4 and near(w, x) or w in a.short and x.startswith(w) or x in b.short and w.startswith(x)]
             if not fits:
                 return False
             cost, x = min(fits)
