@@ -1,4 +1,4 @@
-"""Content-hash identities."""
+"""Content-hash identities as columns."""
 
 from __future__ import annotations
 
@@ -7,46 +7,76 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.canon import tagged_hash
 
+#: The tag of each kind of id, and the version of the records that ids cover.
+PAGE, BOOK, PLACEMENT, ANCHOR, SEGMENT = "page-v1", "book-v1", "placement-v1", "anchor-v1", "segment-v1"
+OCCURRENCE, CONCEPT, ARTIFACT, EDGE, ATTESTATION = "occurrence-v1", "concept-v1", "artifact-v1", "dependency-edge-v1", "artifact-semantic-attestation-v1"
+SCHEMA_VERSION = "schema-v1"
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
+def json_list(*parts: Column) -> Column:
+    """A JSON list of parts that are JSON text."""
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def json_object(**parts: Column) -> Column:
+    """A JSON object of parts that are JSON text, its keys in order."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), parts[k]) for k in sorted(parts)]), F.lit("}"))
+
+
+def ordered(values: Column) -> Column:
+    """An array of strings as the JSON list of its sorted distinct values."""
+    return F.to_json(F.array_sort(F.array_distinct(values)))
+
 
 def page_id(sha256: Column) -> Column:
     """Id of a page from the hex hash of its raw bytes."""
-    return tagged_hash("page-v1", F.unhex(sha256))
+    return tagged_hash(PAGE, F.unhex(sha256))
 
 
 def placement_id(page: Column, sha256: Column, path: Column) -> Column:
-    return tagged_hash("placement-v1", page, F.unhex(sha256), path)
+    return tagged_hash(PLACEMENT, page, F.unhex(sha256), path)
 
 
 def book_id(page_ids: Column) -> Column:
-    """Id of a book from an array of its page ids: sorted, distinct, as a JSON array."""
-    return tagged_hash("book-v1", F.to_json(F.array_sort(F.array_distinct(page_ids))))
+    """Id of a book from an array of its page ids."""
+    return tagged_hash(BOOK, ordered(page_ids))
 
 
-def anchor(kind: Column, order: Column, text: Column) -> Column:
-    """Structural anchor of a segment: JSON of [kind, order, text, {}], the strings escaped as JSON."""
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
-    return tagged_hash("anchor-v1", F.concat(F.lit("["), quoted(kind), F.lit(","), order.cast("string"), F.lit(","), quoted(text), F.lit(",{}]")))
+def anchor(kind: Column, order: Column, text: Column, other: Column | None = None) -> Column:
+    """Structural anchor of a segment; ``other`` is canonical JSON of its fields besides text."""
+    return tagged_hash(ANCHOR, json_list(quoted(kind), order.cast("string"), quoted(text), F.lit("{}") if other is None else other))
 
 
 def segment_id(page: Column, structural_anchor: Column) -> Column:
-    return tagged_hash("segment-v1", page, structural_anchor)
+    return tagged_hash(SEGMENT, page, structural_anchor)
 
 
 def occurrence_id(segment: Column, start: Column, end: Column, surface: Column) -> Column:
-    return tagged_hash("occurrence-v1", segment, start.cast("string"), end.cast("string"), surface)
+    return tagged_hash(OCCURRENCE, segment, start.cast("string"), end.cast("string"), surface)
 
 
 def concept_id(lang: Column, form: Column, occurrence_ids: Column) -> Column:
-    return tagged_hash("concept-v1", F.to_json(F.array(lang, form)), F.to_json(F.array_sort(F.array_distinct(occurrence_ids))))
+    return tagged_hash(CONCEPT, json_list(quoted(lang), quoted(form), ordered(occurrence_ids)))
 
 
 def artifact_id(kind: Column, payload: Column, dependency_ids: Column) -> Column:
     """Id of an artifact; ``payload`` is canonical JSON. Findings and semantic keys are no part of it."""
-    return tagged_hash("artifact-v1", F.concat(F.lit('{"dependency_ids":'), F.to_json(F.array_sort(F.array_distinct(dependency_ids))), F.lit(',"kind":"'), kind, F.lit('","payload":'), payload, F.lit(',"schema_version":"schema-v1"}')))
+    return tagged_hash(ARTIFACT, json_object(schema_version=quoted(F.lit(SCHEMA_VERSION)), kind=quoted(kind), payload=payload, dependency_ids=ordered(dependency_ids)))
+
+
+def attestation_id(artifact: Column, kind: Column, key: Column, dependency_ids: Column) -> Column:
+    """Id of the statement that an artifact answers a semantic key."""
+    return tagged_hash(ATTESTATION, json_object(artifact_id=quoted(artifact), kind=quoted(kind), semantic_key=quoted(key), dependency_ids=ordered(dependency_ids)))
 
 
 def edge_id(subject: Column, parent: Column, child: Column, stage: Column, kind: Column) -> Column:
-    return tagged_hash("dependency-edge-v1", subject, parent, child, stage, kind)
+    named = {"schema_version": F.lit(SCHEMA_VERSION), "stable_subject_id": subject, "parent_artifact_id": parent, "child_artifact_id": child, "stage": stage, "edge_kind": kind}
+    return tagged_hash(EDGE, json_object(**{k: quoted(c) for k, c in named.items()}))
 
 
 def semantic_key(tag: str, *inputs: Column) -> Column:

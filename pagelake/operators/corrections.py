@@ -7,9 +7,12 @@ import json
 import unicodedata
 
 from pagelake.functions.canon import canonical_text
+from pagelake.functions.ids import SCHEMA_VERSION
 
 #: Kinds of corrections and the fields of their scope.
 SCOPES = {"source_text": {"segment_id"}, "target_segment": {"segment_id"}, "target_occurrence": {"segment_id", "start", "end"}, "terminology": {"concept_id", "selector"}}
+#: Tags of the ids.
+CORRECTION, SET, EVENT = "correction-v1", "correction-set-v1", "correction-event-v3"
 EVENTS = ("apply", "revert", "supersede")
 
 
@@ -40,23 +43,24 @@ def parse(raw: str) -> dict:
     return p
 
 
-def _hash(tag: str, value) -> str:
-    return hashlib.sha256(tag.encode() + b"\0" + canonical_text(json.dumps(value)).encode()).hexdigest()
+def _hash(tag: str, **body) -> str:
+    return hashlib.sha256(tag.encode() + b"\0" + canonical_text(json.dumps(body)).encode()).hexdigest()
 
 
 def correction_id(payload: dict, supersedes: str | None = None) -> str:
     """Id of a correction from its content and what it supersedes."""
-    return _hash("correction-v1", {"payload": payload, "supersedes_id": supersedes})
+    return _hash(CORRECTION, payload=payload, supersedes_id=supersedes)
 
 
 def set_id(base: str, active: list[str], events: list[str]) -> str:
     """Id of a correction set: the base revision, the active corrections and the events that led there."""
-    return _hash("correction-set-v1", {"base": base, "active": sorted(set(active)), "events": sorted(set(events))})
+    return _hash(SET, schema_version=SCHEMA_VERSION, base_revision_id=base, active_correction_ids=sorted(set(active)), event_ids=sorted(set(events)))
 
 
 def event_id(correction: str, kind: str, base: str, active: list[str], others: list[str]) -> str:
     """Id of an event; it covers the other events of its set, not itself."""
-    return _hash("correction-event-v3", {"correction": correction, "kind": kind, "base": base, "active": sorted(set(active)), "others": sorted(set(others))})
+    after = {"successor_base_revision_id": base, "successor_active_correction_ids": sorted(set(active))}
+    return _hash(EVENT, schema_version=SCHEMA_VERSION, correction_id=correction, event_kind=kind, other_event_ids=sorted(set(others)), **after)
 
 
 def transition(active: set[str], events: list[str], base: str, kind: str, correction: str, supersedes: str | None = None) -> tuple[set[str], list[str]]:

@@ -33,6 +33,31 @@ def test_ids_change_with_each_input_only(spark):
     assert got[0][0] == hashlib.sha256(b"page-v1\0" + b"\xaa" * 32).hexdigest()
 
 
+def test_golden_ids(spark):
+    """The recipes, computed a second time from the bytes."""
+    import hashlib
+
+    def h(tag, *parts):
+        return hashlib.sha256(b"\0".join([tag.encode(), *[p if isinstance(p, bytes) else p.encode() for p in parts]])).hexdigest()
+
+    def j(x):
+        return json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+    text, path = 'a "q" \\ é\n日', "p/é.jpg"
+    df = spark.createDataFrame([("ab" * 32, text, path, ["b", "a", "b"])], "h string, t string, p string, ids array<string>")
+    c = F.col
+    got = df.select(
+        ids.placement_id(c("t"), c("h"), c("p")), ids.book_id(c("ids")), ids.anchor(F.lit("quote"), F.lit(3), c("t")), ids.segment_id(c("h"), c("t")), ids.occurrence_id(c("h"), F.lit(1), F.lit(4), c("t")), ids.concept_id(F.lit("en"), c("t"), c("ids")),
+        ids.artifact_id(F.lit("K"), F.lit('{"x":1}'), c("ids")), ids.edge_id(c("h"), F.lit("p"), F.lit("c"), F.lit("s"), F.lit("k")), ids.attestation_id(c("h"), F.lit("K"), F.lit("key"), c("ids")),
+    ).first()
+    assert list(got) == [
+        h("placement-v1", text, bytes.fromhex("ab" * 32), path), h("book-v1", j(["a", "b"])), h("anchor-v1", j(["quote", 3, text, {}])), h("segment-v1", "ab" * 32, text), h("occurrence-v1", "ab" * 32, "1", "4", text), h("concept-v1", j(["en", text, ["a", "b"]])),
+        h("artifact-v1", j({"schema_version": "schema-v1", "kind": "K", "payload": {"x": 1}, "dependency_ids": ["a", "b"]})),
+        h("dependency-edge-v1", j({"schema_version": "schema-v1", "stable_subject_id": "ab" * 32, "parent_artifact_id": "p", "child_artifact_id": "c", "stage": "s", "edge_kind": "k"})),
+        h("artifact-semantic-attestation-v1", j({"artifact_id": "ab" * 32, "kind": "K", "semantic_key": "key", "dependency_ids": ["a", "b"]})),
+    ]
+
+
 def test_language_heuristic(spark):
     df = spark.createDataFrame([("the cat and the dog",), ("le la les",), ("あ漢",), ("漢",), ("",), (None,), ("zzz",), ("de la",)], "t string")
     assert [r[0] for r in df.select(canon.detect_language(F.col("t"))).collect()] == ["en", "fr", "ja", "zh", None, None, None, "fr"]
