@@ -26,6 +26,7 @@ WINDOW, CLAUSE_WORDS, LONGEST_CLAUSE, STUFFED, BARE_SHARE, SPAM_SHARE = 50_000,
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
 _WORD = regex.compile(rf"[{_CJK}]|[^\W_{_CJK}]+(?:['’][^\W_{_CJK}]+)*")
 _LINK = regex.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}/\S*")
+_MARKED = regex.compile(r"[#@/<\[]|www\.")
 _TAG = regex.compile(r"(?<!\S)[#@]\w+")
 _END = regex.compile(r"[.!?؟]+[\"'”’)\]]*(?=\s|$)|[。！？।॥]+[」』）]*|\n[^\S\n]*\n|$")
 _ENTRY = regex.compile(r"^\W*(?:\p{L}+\s+)?(\d+)[.):]\s|^\W*(\p{L}[^,:;.\d]*)[,:;.]?\s*.*$")
@@ -78,68 +79,76 @@ def _ordered(lines: list[str]) -> bool:
     return len(numbers) >= 0.7 * len(lines) and rising(numbers) or len(heads) >= 0.7 * len(lines) and rising(heads)
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, bool]:
-    """(letters, letters outside clauses, of these under repeats or in links and tags, letters under repeats, whether it is an ordered list)."""
+def measure(text: str | None, needed: float = 0.0) -> tuple[int, int, int, int, bool]:
+    """(letters, letters outside clauses, of these under repeats or in links and tags, letters under repeats, whether it is an ordered list).
+
+    Clauses come first. The automaton is built if more than the part ``needed`` of the letters is outside clauses; else the
+    letters under repeats are not asked for and given as 0.
+    """
     if not text or not text.strip():
         return 0, 0, 0, 0, False
-    marked = bytearray(len(text))
-    for pattern in (_LINK, _TAG):
-        for m in pattern.finditer(text):
-            marked[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    marks = [m.span() for pattern in (_LINK, _TAG) for m in pattern.finditer(text)] if _MARKED.search(text) else []
+    marked = bytearray(len(text) if marks else 0)
+    for a, b in marks:
+        marked[a:b] = b"\1" * (b - a)
     spans = [m.span() for m in _WORD.finditer(text)]
     words = [text[a:b].casefold() for a, b in spans]
-    long: list[int] = []
-    for k in range(0, len(words), WINDOW):
-        long += repeats(words[k : k + WINDOW])
-    covered, until = [False] * len(words), len(words)
-    for i in range(len(words) - 1, -1, -1):
-        if long[i] >= 2:
-            until = min(until, i - long[i] + 1)
-        covered[i] = i >= until and until < len(words)
-        if i == until:
-            until = len(words)
     size = [b - a for a, b in spans]
-    total = sum(size)
-    bare = spam = 0
-    i = 0
+    total, latin = sum(size), text.isascii()
+    loose: list[tuple[int, int]] = []
+    i, n = 0, len(spans)
     for m in _END.finditer(text):
-        j = i
-        while j < len(spans) and spans[j][0] < m.end():
+        j, end = i, m.end()
+        while j < n and spans[j][0] < end:
             j += 1
         if j == i:
             continue
-        plain = [k for k in range(i, j) if not marked[spans[k][0]]]
-        wide = 1 + (sum(size[k] == 1 and not text[spans[k][0]].isascii() for k in plain) > len(plain) // 2)
-        own = sum(size[i:j])
+        plain = [k for k in range(i, j) if not marked[spans[k][0]]] if marks else range(i, j)
+        wide = 1 if latin else 1 + (sum(size[k] == 1 and words[k] > "\x7f" for k in plain) > len(plain) // 2)
         clause = bool(m.group().strip()) and CLAUSE_WORDS * wide <= len(plain) <= LONGEST_CLAUSE * wide and 2 * len(plain) > j - i
         if clause and wide == 1:
-            pairs = Counter(zip(words[i : j - 1], words[i + 1 : j]))
-            twice = set()
-            for k in range(i, j - 1):
-                if pairs[words[k], words[k + 1]] > 1:
-                    twice |= {k, k + 1}
-            clause = sum(size[k] for k in twice) < STUFFED * own
+            pairs = list(zip(words[i : j - 1], words[i + 1 : j]))
+            if len(set(pairs)) < len(pairs):
+                times = Counter(pairs)
+                twice = {x for k, q in enumerate(pairs) if times[q] > 1 for x in (i + k, i + k + 1)}
+                clause = sum(size[k] for k in twice) < STUFFED * sum(size[i:j])
         if not clause:
-            bare += own
-            spam += sum(size[k] for k in range(i, j) if covered[k] or marked[spans[k][0]])
+            loose.append((i, j))
         i = j
+    bare = sum(sum(size[i:j]) for i, j in loose)
+    if bare <= needed * total and needed:
+        return total, bare, 0, 0, False
+    long: list[int] = []
+    for k in range(0, n, WINDOW):
+        long += repeats(words[k : k + WINDOW])
+    covered, until = [False] * n, n
+    for i in range(n - 1, -1, -1):
+        if long[i] >= 2:
+            until = min(until, i - long[i] + 1)
+        covered[i] = i >= until and until < n
+        if i == until:
+            until = n
+    spam = sum(size[k] for i, j in loose for k in range(i, j) if covered[k] or marks and marked[spans[k][0]])
     lines = [x for x in text.split("\n") if x.strip()]
     return total, bare, spam, sum(s for s, c in zip(size, covered) if c), _ordered(lines[1:] if len(lines) > 6 else lines)
 
 
-def spam_pages(df: DataFrame, key: str, text: str, bare_share: float = BARE_SHARE, spam_share: float = SPAM_SHARE) -> DataFrame:
+def spam_pages(df: DataFrame, key: str, text: str, bare_share: float = BARE_SHARE, spam_share: float = SPAM_SHARE, all_coverage: bool = True) -> DataFrame:
     """(key, coverage, bare, spam_share, is_spam) for each distinct row of (key, text).
 
+    Without all_coverage the automata of pages that their clauses clear are not built, and their coverage is 0.
+
     A null, empty or wordless text has zero shares and is no spam; repeated rows count once; other columns are
     ignored. Whole texts are read; pages above WINDOW words get an automaton for each WINDOW words.
     """
+    needed = 0.0 if all_coverage else bare_share
     out = f"`{key}` {df.schema[key].dataType.simpleString()}, coverage double, bare double, spam_share double, is_spam boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, t in zip(b[key], b["_text"]):
-                n, bare, spam, cov, ordered = measure(t)
+                n, bare, spam, cov, ordered = measure(t, needed)
                 n, part = max(n, 1), spam / max(bare, 1)
                 rows.append((k, cov / n, bare / n, part, not ordered and bare > bare_share * n and part > spam_share))
             yield pd.DataFrame(rows, columns=[key, "coverage", "bare", "spam_share", "is_spam"])
@@ -153,7 +162,7 @@ def p10_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return spam_pages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").where("is_spam").select("doc_id").distinct()
+    return spam_pages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", all_coverage=False).where("is_spam").select("doc_id").distinct()
 
 
 QUERIES = {"p10_found": p10_found, "p10_pages": p10_pages}
