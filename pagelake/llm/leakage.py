@@ -9,6 +9,7 @@ the test items travel to the tasks in parts of at most PART letters.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from pagelake.sources.tables import table
 SEED, SEED_WIDE, SHARD, BLOCK, PART, LEAK, AGREE, SHIFT, DENSE = 4, 7, 400_000, 5_000, 16_000_000, 1 / 3, 0.7, 3, 0.06
 _WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
 _TOKEN = regex.compile(rf"[{_WIDE}]\p{{M}}*|(?:(?![{_WIDE}])[\p{{L}}\p{{M}}\p{{N}}\p{{Cf}}])+(?:[-­¬‐]\s*\n\s*(?:(?![{_WIDE}])[\p{{L}}\p{{M}}\p{{N}}])+)*")
+_ASCII = re.compile(r"[A-Za-z0-9]+(?:-\s*\n\s*[A-Za-z0-9]+)*")
+_ESCAPED = re.compile(r'\\[nrt"]')
 _DROP = regex.compile(r"[\p{Cf}\p{Pd}¬\s]+")
 _LINE_QUESTION = regex.compile(r"[?？؟]\s*$|^\s*\p{L}+\s*[:：]")
 
@@ -38,21 +41,29 @@ class Words:
     def __init__(self):
         self.seen: dict[str, str] = {}
 
-    def split(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
-        text = regex.sub(r'\\[nrt"]', "  ", text)
-        words, spans = [], []
-        for m in _TOKEN.finditer(text):
-            raw = m.group()
-            w = self.seen.get(raw)
-            if w is None:
-                w = _DROP.sub("", unicodedata.normalize("NFKC", raw).casefold())
-                w = unicodedata.normalize("NFKC", w)
-                if len(self.seen) < 500_000:
-                    self.seen[raw] = w
-            if w:
-                words.append(w)
-                spans.append(m.span())
-        return words, spans
+    def form(self, raw: str) -> str:
+        w = self.seen.get(raw)
+        if w is None:
+            w = unicodedata.normalize("NFKC", _DROP.sub("", unicodedata.normalize("NFKC", raw).casefold()))
+            if len(self.seen) < 500_000:
+                self.seen[raw] = w
+        return w
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text."""
+        text = _plain(text)
+        raw = (_ASCII if text.isascii() else _TOKEN).findall(text)
+        seen = self.seen
+        return [w for w in [seen[r] if r in seen else self.form(r) for r in raw] if w]
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where the words of :meth:`split` stand."""
+        text = _plain(text)
+        return [m.span() for m in (_ASCII if text.isascii() else _TOKEN).finditer(text) if self.form(m.group())]
+
+
+def _plain(text: str) -> str:
+    return _ESCAPED.sub("  ", text) if "\\" in text else text
 
 
 def passages(items: list[tuple[int, str | None]]) -> list[tuple[int, str]]:
@@ -84,7 +95,7 @@ class Block:
         seeds: dict[int, list[tuple[int, ...]]] = {SEED: [], SEED_WIDE: []}
         where: dict[int, list[tuple[int, int]]] = {SEED: [], SEED_WIDE: []}
         for item, text in items:
-            w, _ = words.split(text)
+            w = words.split(text)
             ids = [self.vocabulary.setdefault(x, len(self.vocabulary) + 2) for x in w]
             n = len(self.items)
             self.items.append((item, np.array(ids), np.array([len(x) for x in w])))
@@ -138,7 +149,7 @@ def stretch(doc: np.ndarray, item: np.ndarray, d: int, i: int) -> tuple[int, int
 def search(block: Block, docs: list[tuple[object, list[str]]], leak: float, agree: float) -> list[tuple[int, int, int, int, float]]:
     """(doc number, item id, first word, end word, part of the item) of every leak in a shard."""
     vocabulary = block.vocabulary
-    arrays = [np.fromiter((vocabulary.get(w, 1) for w in words), np.int64, len(words)) for _, words in docs]
+    arrays = [np.array([vocabulary.get(w, 1) for w in words], np.int64) for _, words in docs]
     begins = np.cumsum([0] + [len(a) + 1 for a in arrays])
     # words of no item are one symbol; a one also parts the documents
     text = np.concatenate([x for a in arrays for x in (a, [1])]) if arrays else np.empty(0, np.int64)
@@ -207,28 +218,28 @@ def _leaks_of(docs: DataFrame, item_type: str, known: list[tuple[int, str]], lea
     blocks = docs.sparkSession.sparkContext.broadcast([Block(known[i : i + BLOCK]) for i in range(0, len(known), BLOCK)])
     overlap = 2 * max((len(x[1]) for b in blocks.value for x in b.items), default=0)
 
-    def flush(held: list[tuple]) -> pd.DataFrame:
+    def flush(held: list[tuple], words: Words) -> pd.DataFrame:
         rows = []
         for block in blocks.value:
-            for n, item, a, b, part in search(block, [(k, w) for k, w, _ in held], leak, agree):
-                spans = held[n][2]
-                rows.append((held[n][0], item, spans[a][0], spans[b - 1][1], float(part)))
+            for n, item, a, b, part in search(block, [(k, w) for k, w, _, _ in held], leak, agree):
+                k, _, text, begin = held[n]
+                spans = words.spans(text)
+                rows.append((k, item, spans[begin + a][0], spans[begin + b - 1][1], float(part)))
         return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "part"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n, words = [], 0, Words()
         for b in batches:
             for k, t in zip(b["doc_id"], b["text"]):
-                w, s = words.split(t) if t else ([], [])
+                w = words.split(t) if t else []
                 for i in range(0, max(len(w), 1), max(shard - overlap, overlap + 1, 1)):
-                    piece = slice(i, i + max(shard, 2 * overlap + 1))
-                    held.append((k, w[piece], s[piece]))
+                    held.append((k, w[i : i + max(shard, 2 * overlap + 1)], t, i))
                     n += len(held[-1][1])
                     if n >= shard:
-                        yield flush(held)
+                        yield flush(held, words)
                         held, n = [], 0
         if held:
-            yield flush(held)
+            yield flush(held, words)
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, start int, end int, part double"
     return docs.select("doc_id", "text").mapInPandas(run, kinds)
