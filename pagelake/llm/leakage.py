@@ -91,14 +91,14 @@ class Block:
     def __init__(self, items: list[tuple[int, str]]):
         words = Words()
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.items: list[tuple[int, list[int], np.ndarray]] = []
         seeds: dict[int, list[tuple[int, ...]]] = {SEED: [], SEED_WIDE: []}
         where: dict[int, list[tuple[int, int]]] = {SEED: [], SEED_WIDE: []}
         for item, text in items:
             w = words.split(text)
             ids = [self.vocabulary.setdefault(x, len(self.vocabulary) + 2) for x in w]
             n = len(self.items)
-            self.items.append((item, np.array(ids), np.array([len(x) for x in w])))
+            self.items.append((item, ids, np.array([len(x) for x in w])))
             wide = sum(len(x) == 1 for x in w) > len(w) // 2
             k = min(SEED_WIDE if wide else SEED, len(ids))
             if k not in seeds:
@@ -110,34 +110,34 @@ class Block:
         self.seeds = {k: (np.array(v), np.array(where[k])) for k, v in seeds.items() if v}
 
 
-def stretch(doc: np.ndarray, item: np.ndarray, d: int, i: int) -> tuple[int, int, int, int, list[int]]:
+#: Places to go on at after a change, as words to skip in the document and in the item, the least change first.
+_SKIPS = [x for k in range(1, 2 * SHIFT + 1) for x in ((k, k), *((k, j) for j in range(k - 1, max(-1, k - SHIFT - 1), -1)), *((j, k) for j in range(k - 1, max(-1, k - SHIFT - 1), -1)))]
+
+
+def stretch(doc: list[int], item: list[int], d: int, i: int) -> tuple[int, int, int, int, list[int]]:
     """The stretch of agreement around doc[d] = item[i]: (doc from, to, item from, to, agreeing item positions).
 
     It is carried on over a changed, missing or added word while two of the next words agree.
     """
-    hit = [i]
-    ends = []
+    hit, ends, n, m = [i], [], len(doc), len(item)
     for step in (1, -1):
         a, b, last = d, i, (d, i)
         while True:
             a, b = a + step, b + step
-            if not (0 <= a < len(doc) and 0 <= b < len(item)):
+            if not (0 <= a < n and 0 <= b < m):
                 break
             if doc[a] == item[b]:
                 hit.append(b)
                 last = (a, b)
                 continue
             best = None
-            for skip in range(1, SHIFT * 2 + 1):
-                for u, v in ((skip, skip), *((skip, x) for x in range(skip - 1, max(-1, skip - SHIFT - 1), -1)), *((x, skip) for x in range(skip - 1, max(-1, skip - SHIFT - 1), -1))):
-                    x, y = a + step * (u - 0), b + step * (v - 0)
-                    if 0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y]:
-                        p, q = x + step, y + step
-                        if 0 <= p < len(doc) and 0 <= q < len(item) and doc[p] == item[q] or not 0 <= q < len(item):
-                            best = (x, y)
-                            break
-                if best:
-                    break
+            for u, v in _SKIPS:
+                x, y = a + step * u, b + step * v
+                if 0 <= x < n and 0 <= y < m and doc[x] == item[y]:
+                    p, q = x + step, y + step
+                    if not 0 <= q < m or 0 <= p < n and doc[p] == item[q]:
+                        best = (x, y)
+                        break
             if not best:
                 break
             a, b = best[0] - step, best[1] - step
@@ -149,10 +149,10 @@ def stretch(doc: np.ndarray, item: np.ndarray, d: int, i: int) -> tuple[int, int
 def search(block: Block, docs: list[tuple[object, list[str]]], leak: float, agree: float) -> list[tuple[int, int, int, int, float]]:
     """(doc number, item id, first word, end word, part of the item) of every leak in a shard."""
     vocabulary = block.vocabulary
-    arrays = [np.array([vocabulary.get(w, 1) for w in words], np.int64) for _, words in docs]
+    arrays = [[vocabulary.get(w, 1) for w in words] for _, words in docs]
     begins = np.cumsum([0] + [len(a) + 1 for a in arrays])
     # words of no item are one symbol; a one also parts the documents
-    text = np.concatenate([x for a in arrays for x in (a, [1])]) if arrays else np.empty(0, np.int64)
+    text = np.fromiter((x for a in arrays for x in (*a, 1)), np.int64, int(begins[-1]))
     found = []
     if not (text > 1).any():
         return found
