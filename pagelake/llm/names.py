@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from itertools import groupby, permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.lookalikes import shape
@@ -326,23 +326,29 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["book", "form_a", "form_b", "full_a", "full_b"])
 
 
+def _node(form: str) -> Column:
+    """A form of a book as 128 bits of hash: groups are found on these, not on texts."""
+    return F.struct(F.xxhash64("book", form).alias("h"), F.xxhash64(F.lit(7), form, "book").alias("g"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(book, node, root): each node's least connected node, by rounds of least neighbours and pointer jumps."""
-    both = links.select("book", "a", "b").union(links.select("book", "b", "a")).where("a <> b").distinct()
-    both = cut(both)
-    label = cut(nodes.select("book", "node").distinct().withColumn("root", F.col("node")))
+    """(node, root): each node's least connected node, by rounds of least neighbours and pointer jumps; links are (a, b)."""
+    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
-        around = both.join(label.withColumnsRenamed({"node": "b", "root": "r"}), ["book", "b"]).groupBy("book", F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        new = label.join(around, ["book", "node"], "left").select("book", "node", "root", F.least("root", F.coalesce("r", "root")).alias("next"))
-        jump = new.select("book", F.col("node").alias("next"), F.col("next").alias("far"))
-        new = cut(new.join(jump, ["book", "next"], "left").select("book", "node", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
-        label = new.select("book", "node", F.col("next").alias("root"))
+        around = both.join(label.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        new = label.join(around, "node").select("node", "root", F.least("root", "r").alias("next"))
+        jump = label.select(F.col("node").alias("next"), F.col("root").alias("far"))
+        new = cut(new.join(jump, "next").select("node", "root", F.least("next", "far").alias("next")))
+        label = new.select("node", F.col("next").alias("root"))
         if new.where("next <> root").isEmpty():
-            return label
+            break
+    alone = nodes.select("node").distinct().join(label.select("node"), "node", "left_anti")
+    return label.union(alone.select("node", F.col("node").alias("root")))
 
 
 def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(book, id, root): the set of each candidate that names a person or body; root is the set's least form.
+    """(book, id, form, root): the set of each form of each candidate that names a person or body, by the key root.
 
     forms: (book, id, form), labelled: (book, form, category). Null and blank forms are dropped, as are technical terms:
     by their own labels, or by a head word that the corpus labels technical. A null book is a book of its own. Ids may
@@ -373,24 +379,23 @@ def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
     met = cells.repartition("book", "cell").sortWithinPartitions("book", "cell").mapInPandas(_join_cell, "book string, a string, b string").distinct()
     a, b = (words.select("book", F.col("word").alias(x), F.col("form").alias(f"form_{x}")) for x in "ab")
     pairs = met.join(a, ["book", "a"]).join(b, ["book", "b"]).where("form_a <> form_b").select("book", F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b")).distinct()
-    links = cut(pairs.mapInPandas(_compare, "book string, form_a string, form_b string, full_a boolean, full_b boolean"))
-    mine = f.withColumn("first", F.min("form").over(_window())).select("book", F.col("form").alias("a"), F.col("first").alias("b"))
-    nodes = f.select("book", F.col("form").alias("node"))
-    strong = components(nodes, links.where("full_a and full_b").select("book", F.col("form_a").alias("a"), F.col("form_b").alias("b")).union(mine))
-    weak = links.where("not (full_a and full_b)")
-    weak = weak.select("book", "form_a", "form_b", "full_b").union(weak.select("book", "form_b", "form_a", "full_a")).toDF("book", "x", "y", "full")
-    s = cut(strong)
-    has = s.select("book", F.col("node").alias("y"), F.col("root").alias("ry"))
-    ends = weak.join(has, ["book", "y"]).join(s.select("book", F.col("node").alias("x"), F.col("root").alias("rx")), ["book", "x"])
+    links = pairs.mapInPandas(_compare, "book string, form_a string, form_b string, full_a boolean, full_b boolean")
+    links = cut(links.select(_node("form_a").alias("a"), _node("form_b").alias("b"), "full_a", "full_b"))
+    f = cut(f.withColumn("node", _node("form")))
+    mine = f.withColumn("first", F.min("node").over(_window())).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    s = cut(components(f.select("node"), links.where("full_a and full_b").select("a", "b").union(mine)))
+    weak = links.where("not (full_a and full_b)").select("a", "b")
+    weak = weak.union(weak.select("b", "a")).toDF("x", "y")
+    ends = weak.join(s.toDF("y", "ry"), "y").join(s.toDF("x", "rx"), "x").where("rx <> ry").select("rx", "ry").distinct()
     # groups of full names are settled; a group of short forms alone joins the one settled group it fits
-    settled = words.select("book", "form").distinct().mapInPandas(_settled, "book string, node string").join(s, ["book", "node"]).select("book", F.col("root").alias("ry")).distinct().withColumn("settled", F.lit(True))
-    ends = ends.where("rx <> ry").select("book", "rx", "ry").distinct().join(settled, ["book", "ry"], "left").join(settled.select("book", F.col("ry").alias("rx"), F.col("settled").alias("fixed")), ["book", "rx"], "left").where("fixed is null")
-    fits = ends.where("settled").groupBy("book", "rx").agg(F.count("*").alias("n"), F.min("ry").alias("ry"))
-    joins = fits.where("n = 1").select("book", F.col("rx").alias("a"), F.col("ry").alias("b"))
-    loose = ends.where("settled is null").join(fits.select("book", "rx"), ["book", "rx"], "left_anti").join(fits.select("book", F.col("rx").alias("ry")), ["book", "ry"], "left_anti")
-    more = joins.union(loose.select("book", F.col("rx").alias("a"), F.col("ry").alias("b")))
-    final = components(s.select("book", F.col("root").alias("node")), more).select("book", F.col("node").alias("root"), F.col("root").alias("set"))
-    return f.join(s.select("book", F.col("node").alias("form"), "root"), ["book", "form"]).join(final, ["book", "root"]).select("book", "id", F.col("set").alias("root")).distinct()
+    whole = words.select("book", "form").distinct().mapInPandas(_settled, "book string, form string").select(_node("form").alias("node"))
+    settled = whole.join(s, "node").select(F.col("root").alias("ry")).distinct().withColumn("settled", F.lit(True))
+    ends = cut(ends.join(settled, "ry", "left").join(settled.select(F.col("ry").alias("rx")), "rx", "left_anti"))
+    fits = ends.where("settled").groupBy("rx").agg(F.count("*").alias("n"), F.min("ry").alias("ry"))
+    joins = fits.where("n = 1").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
+    loose = ends.where("settled is null").join(fits.select("rx"), "rx", "left_anti").join(fits.select(F.col("rx").alias("ry")), "ry", "left_anti")
+    final = components(s.select(F.col("root").alias("node")), joins.union(loose.select(F.col("rx").alias("a"), F.col("ry").alias("b"))))
+    return f.join(s, "node").select("book", "id", "form", F.col("root").alias("node")).join(final, "node").select("book", "id", "form", "root")
 
 
 def _window():
@@ -401,7 +406,7 @@ def _window():
 
 def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(k, f) for k, f in zip(b["book"], b["form"]) if Name(f).full], columns=["book", "node"])
+        yield pd.DataFrame([(k, f) for k, f in zip(b["book"], b["form"]) if Name(f).full], columns=["book", "form"])
 
 
 def _sets(spark: SparkSession, root: str) -> DataFrame:
@@ -415,13 +420,14 @@ def _sets(spark: SparkSession, root: str) -> DataFrame:
 def p3_sets(spark: SparkSession, root: str) -> DataFrame:
     """One row per set of a book: its candidates in order."""
     s = _sets(spark, root)
-    return s.groupBy(F.col("book").alias("book_id"), F.col("root").alias("name")).agg(F.array_sort(F.collect_set("id")).alias("candidate_ids"))
+    sets = s.groupBy(F.col("book").alias("book_id"), "root").agg(F.min("form").alias("name"), F.array_sort(F.collect_set("id")).alias("candidate_ids"))
+    return sets.drop("root")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    s = cut(_sets(spark, root))
-    a, b = (s.select("book", "root", F.col("id").alias(f"candidate_id_{x}")) for x in "ab")
-    return a.join(b, ["book", "root"]).where("candidate_id_a < candidate_id_b").select("candidate_id_a", "candidate_id_b").distinct()
+    s = cut(_sets(spark, root).select("id", "root").distinct())
+    a, b = (s.select("root", F.col("id").alias(f"candidate_id_{x}")) for x in "ab")
+    return a.join(b, "root").where("candidate_id_a < candidate_id_b").select("candidate_id_a", "candidate_id_b").distinct()
 
 
 QUERIES = {"p3_found": p3_found, "p3_sets": p3_sets}
