@@ -69,12 +69,15 @@ def detect_language(text: Column) -> Column:
     """ja, ko or zh by script, else the language with most stop words, of a tie the first; null if none occurs."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-zA-ZÀ-ÿ]+)"), F.lit(1))
 
-    def count(stop: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*stop)))
+    def count(of: Column, stop: list[str]) -> Column:
+        return F.size(F.filter(of, lambda w: w.isin(*stop)))
 
-    hits = {c: count(ws) for c, ws in STOP_WORDS.items()}
-    most = F.greatest(*hits.values())
-    by_words = F.when(most > 0, F.coalesce(*[F.when(n == most, F.lit(c)) for c, n in hits.items()]))
+    def most(n: Column) -> Column:
+        return F.when(F.array_max(n) > 0, F.element_at(F.array(*[F.lit(c) for c in STOP_WORDS]), F.array_position(n, F.array_max(n)).cast("int")))
+
+    # arrays of one element bind a value, so that words and counts are made once a row
+    counts = F.get(F.transform(F.array(words), lambda of: F.array(*[count(of, stop) for stop in STOP_WORDS.values()])), F.lit(0))
+    by_words = F.get(F.transform(F.array(counts), most), F.lit(0))
     return (
         F.when(text.rlike("[\\u3040-\\u30ff]"), "ja").when(text.rlike("[\\uac00-\\ud7af]"), "ko").when(text.rlike("[\\u4e00-\\u9fff]"), "zh").when(F.trim(text) == "", None).otherwise(by_words)
     )
