@@ -145,9 +145,9 @@ def scanned_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def vocabulary(facts: DataFrame) -> DataFrame:
-    """(word, n, lower, books): occurrences, those not capitalised, and books."""
+    """(word, n, lower, books, home, most): occurrences, those not capitalised, books, and the book that has it most often with its occurrences there."""
     w = facts.where("fact = 'word'").groupBy("a", "book").agg(F.sum("n").alias("n"), F.sum("m").alias("lower"))
-    return w.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"), F.count("*").alias("books"))
+    return w.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"), F.count("*").alias("books"), F.max(F.struct("n", "book")).alias("h")).select("word", "n", "lower", "books", F.col("h.book").alias("home"), F.col("h.n").alias("most"))
 
 
 def train_editor(words: DataFrame, sample: int = WORDS) -> Editor:
@@ -156,38 +156,52 @@ def train_editor(words: DataFrame, sample: int = WORDS) -> Editor:
     return Editor([r[0] for r in top.select("word").collect() if r[0].isalpha() or r[0].isdigit()])
 
 
-def misread_words(words: DataFrame, editor: Editor) -> DataFrame:
-    """(word, reading): words that are misread forms of much more frequent ones.
+def _swapped(a: str, b: str) -> bool:
+    """Whether b is a with two neighbours in each other's place: a slip of the pen or the keys, no confusion of shapes."""
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(a) == len(b) and a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
 
-    A reading by letters alone must be common, and the word be no name: not bound to its book and, if the reading is written
-    small, seen small. A word with digits or marks between letters, or letters between digits, needs a known reading only.
+
+def misread_words(words: DataFrame, facts: DataFrame, editor: Editor) -> DataFrame:
+    """(word, reading, capitals): words that are misread forms of much more frequent ones; without capitals only where written small.
+
+    A reading by letters alone must be common, and the word be no name. A word always capitalised can only be a misread name:
+    the editor prefers the reading, or the book that has the word most has the reading far more often. A word capitalised far
+    more than its reading is a name where it is capitalised. No test depends on how often a book has the word. A word with
+    digits or marks between letters, or letters between digits, needs a known reading only.
     """
     said = words.sparkSession.sparkContext.broadcast(editor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for w, n, small, books in zip(b["word"], b["n"], b["lower"], b["books"]):
+            for w, n, small, home, most in zip(b["word"], b["n"], b["lower"], b["home"], b["most"]):
                 letters = sum(c.isalpha() for c in w)
                 odd = letters != len(w)
-                if len(w) < 3 or len(w) > 40 or not odd and (n > 2.5 * books or len(w) < 4):
+                if len(w) < 3 or len(w) > 40 or not odd and len(w) < 4:
                     continue
                 best: dict[str, tuple[int, float]] = {}
                 for v, edits, margin in said.value.readings(w, 2 if len(w) >= 6 else 1):
-                    if v != w and (v.isalpha() or v.isdigit()) and (v not in best or (edits, -margin) < (best[v][0], -best[v][1])):
+                    if v != w and (v.isalpha() or v.isdigit()) and not (edits == 2 and _swapped(w, v)) and (v not in best or (edits, -margin) < (best[v][0], -best[v][1])):
                         best[v] = (edits, margin)
-                rows += [(w, v, n, small, books, odd, e, m) for v, (e, m) in best.items()]
-            yield pd.DataFrame(rows, columns=["word", "reading", "n", "lower", "books", "odd", "edits", "margin"])
+                rows += [(w, v, n, small, home, most, odd, e, m) for v, (e, m) in best.items()]
+            yield pd.DataFrame(rows, columns=["word", "reading", "n", "lower", "home", "most", "odd", "edits", "margin"])
 
-    doubt = words.mapInPandas(run, "word string, reading string, n long, lower long, books long, odd boolean, edits int, margin double")
+    doubt = words.mapInPandas(run, "word string, reading string, n long, lower long, home string, most long, odd boolean, edits int, margin double")
     known = words.select(F.col("word").alias("reading"), F.col("n").alias("known"), F.col("lower").alias("known_lower"), F.col("books").alias("known_books"))
     j = doubt.join(known, "reading")
     ratio = F.when(F.col("edits") == 1, RATIO[1]).otherwise(RATIO[2])
-    small = (F.col("lower") > 0) | (F.col("known_lower") < 0.5 * F.col("known"))
-    plain = (F.col("known") >= ratio * F.col("n")) & (F.col("known") >= OFTEN) & (F.col("known_books") >= BOOKS) & small
+    name = F.col("known_lower") < 0.5 * F.col("known")
+    plain = (F.col("known") >= ratio * F.col("n")) & (F.col("known") >= OFTEN) & (F.col("known_books") >= BOOKS) & ((F.col("lower") > 0) | name)
     odd = (F.col("known") >= 2 * F.col("n")) & (F.col("known") >= F.when(F.col("edits") == 1, 3).otherwise(OFTEN))
-    taken = j.where(F.when(F.col("odd"), odd).otherwise(plain))
-    return taken.groupBy("word").agg(F.max(F.struct(-F.col("edits"), "margin", "known", "reading")).alias("m")).select("word", F.col("m.reading").alias("reading"))
+    j = cut(j.where(F.when(F.col("odd"), odd).otherwise(plain)))
+    # only names that the editor would keep are looked up in their book
+    unsure = ~F.col("odd") & (F.col("lower") == 0) & (F.col("margin") <= 0)
+    asked = j.where(unsure).select(F.col("reading").alias("a"), F.col("home").alias("book")).distinct()
+    there = facts.where("fact = 'word'").join(asked, ["a", "book"]).groupBy(F.col("a").alias("reading"), F.col("book").alias("home")).agg(F.sum("n").alias("there"))
+    taken = j.join(there, ["reading", "home"], "left").where(~unsure | (F.coalesce("there", F.lit(0)) >= ratio * F.col("most")))
+    capitals = F.col("odd") | name | (F.col("lower") * F.col("known") >= 0.5 * F.col("n") * F.col("known_lower"))
+    return taken.groupBy("word").agg(F.max(F.struct(-F.col("edits"), "margin", "known", "reading", capitals.alias("capitals"))).alias("m")).select("word", "m.reading", "m.capitals")
 
 
 def divided_words(facts: DataFrame, words: DataFrame) -> DataFrame:
@@ -221,10 +235,10 @@ def furniture(facts: DataFrame, pages: int = PAGES) -> DataFrame:
 
 
 def _words_of(texts: DataFrame) -> DataFrame:
-    """Distinct words of each text in the form of the vocabulary."""
+    """Distinct words of each text as they stand there (form) and in the form of the vocabulary."""
     plain = F.regexp_replace("text", rf"[{HYPHEN}][ \t ]*\r?\n[ \t ]*", "")
-    split = F.regexp_extract_all(F.lower(plain), F.lit(r"([\p{L}\p{N}\p{M}]+(?:[!|][\p{L}\p{N}\p{M}]+)*)"), F.lit(1))
-    return texts.where("text is not null").select("record_table", "record_id", "item", F.explode(F.array_distinct(split)).alias("word"))
+    split = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}\p{M}]+(?:[!|][\p{L}\p{N}\p{M}]+)*)"), F.lit(1))
+    return texts.where("text is not null").select("record_table", "record_id", "item", F.explode(F.array_distinct(split)).alias("form")).withColumn("word", F.lower("form"))
 
 
 class Scan:
@@ -234,14 +248,16 @@ class Scan:
         self.texts = texts
         self.facts = cut(texts.mapInPandas(_facts, FACTS))
         self.words = cut(vocabulary(self.facts))
-        self.readings = cut(misread_words(self.words, train_editor(self.words)))
+        self.readings = cut(misread_words(self.words, self.facts, train_editor(self.words)))
         self.divided = divided_words(self.facts, self.words)
         self.furniture = furniture(self.facts)
 
     def misread(self) -> DataFrame:
-        """(record_table, record_id, item, word, reading); the readings are sent along while they are few."""
+        """(record_table, record_id, item, form, word, reading); the readings are sent along while they are few."""
         r = self.readings
-        return _words_of(self.texts).join(F.broadcast(r) if r.count() <= DOUBT // 10 else r, "word")
+        found = _words_of(self.texts).join(F.broadcast(r) if r.count() <= DOUBT // 10 else r, "word")
+        first = F.substring("form", 1, 1)
+        return found.where(F.col("capitals") | (first == F.lower(first))).select("record_table", "record_id", "item", "form", "word", "reading")
 
     def defects(self) -> DataFrame:
         """(record_table, record_id, item, defect), one row per defect that a text has."""
@@ -269,7 +285,7 @@ def _mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 f = dict(fixes)
 
                 def fix(m, f=f):
-                    r = f.get(m[0].lower())
+                    r = f.get(m[0])
                     return m[0] if r is None else r[:1].upper() + r[1:] if m[0][:1].isupper() else r
 
                 t = re.sub(r"[^\W_]+(?:[!|][^\W_]+)*", fix, t)
@@ -286,7 +302,7 @@ def repaired(scan: Scan) -> DataFrame:
     cols = ("record_table", "record_id", "item")
     drop = scan.furniture.groupBy(*cols).agg(F.collect_set("line").alias("drop"))
     lines = scan.divided.groupBy(*cols).agg(F.collect_set(F.when(~F.col("divided"), F.col("nth"))).alias("keep"), F.max("divided").alias("hyphen"))
-    fixes = scan.misread().select(*cols, "word", "reading").distinct().groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("fixes"))
+    fixes = scan.misread().select(*cols, "form", "reading").distinct().groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct("form", "reading"))).alias("fixes"))
     t = scan.texts.where("text is not null").select(*cols, "text").distinct()
     t = t.join(drop, list(cols), "left").join(lines, list(cols), "left").join(fixes, list(cols), "left")
     return t.withColumn("hyphen", F.coalesce("hyphen", F.lit(False))).mapInPandas(_mend, "record_table string, record_id long, item int, text string, damaged boolean")

@@ -79,6 +79,25 @@ def test_scans(spark):
     assert scans.Scan(df.where("1 = 0")).defects().isEmpty()
 
 
+def _misread(spark, texts):
+    df = spark.createDataFrame([("p", i, 0, b, i, "paragraph", False, t) for i, (b, t) in enumerate(texts)], "record_table string, record_id long, item int, book string, page int, kind string, first boolean, text string")
+    s = scans.Scan(df)
+    return {texts[r.record_id][1] for r in s.defects().where("defect = 'misread'").collect()}, {texts[r.record_id][1]: r.text for r in scans.repaired(s).collect()}
+
+
+def test_misread_words_of_one_book(spark):
+    """A form is damage however often one book has it; names of one book are none."""
+    clean = "the fine record came from the garden of the northern library."
+    texts = [(f"b{i % 5}", clean) for i in range(200)] + [(f"b{i % 5}", "so Elizabeth met Kamape there.") for i in range(60)]
+    hot = [("hot", f"page {i}: it came frorn there.") for i in range(12)]
+    corpus = [("", f"part {i}: the nortbern gate.") for i in range(3)]
+    names = [("n", f"page {i}: then Tine met Komape and Eilzabeth here.") for i in range(10)]
+    both = [("n", "Tine had a tine lamp.")]
+    got, fixed = _misread(spark, texts + hot + corpus + names + both)
+    assert got == {t for _, t in hot + corpus + both}
+    assert fixed[both[0][1]] == "Tine had a fine lamp." and fixed[hot[0][1]] == "page 0: it came from there."
+
+
 def test_edit_metric_and_near():
     def slow(a, b):
         d = list(range(len(b) + 1))
