@@ -1,8 +1,9 @@
-"""A character editor: an averaged perceptron that predicts, for each character, keep, replace, delete, insert or join.
+"""A character editor: an averaged perceptron that predicts, for each character, keep, replace, delete or join.
 
 It is trained on words of the corpus (a bounded sample of its most frequent ones) under a noise channel of scanner
-confusions, with the clean words as examples of keeping. For a word it proposes readings, each with its margin over
-keeping; what is taken is decided against the corpus vocabulary.
+confusions, with the clean words as examples of keeping. For a word it proposes every reading of the table, each with its margin over
+keeping; what is taken is decided against the corpus vocabulary, for names by the margin. Two letters read as one are replaced
+at once, there is no insert; join is trained beside the others and not asked, divided words are decided by counts.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def features(text: str, i: int) -> list[str]:
 
 
 def operations(true: str, read: str) -> list[str]:
-    """The operations on the characters of ``read`` that give ``true``, for one confusion: first replaced, further ones deleted or inserted."""
+    """The operations on the characters of ``read`` that give ``true``, for one confusion: first replaced (by all of ``true``), further ones deleted."""
     out = [f"R{true}" if true[0] != read[0] or len(true) != len(read) else f"R{true}"]
     return out + [DELETE] * (len(read) - 1)
 
 
 class Editor:
-    """Weights by feature and operation; operations are keep, delete, join, Rx (read as x) and Ix (x before this)."""
+    """Weights by feature and operation; operations are keep, delete, join and Rx (read as x, which may be two letters)."""
 
     def __init__(self, words: list[str], passes: int = PASSES):
         by_first: dict[str, list[tuple[str, str]]] = defaultdict(list)

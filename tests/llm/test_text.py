@@ -98,6 +98,16 @@ def test_misread_words_of_one_book(spark):
     assert fixed[both[0][1]] == "Tine had a fine lamp." and fixed[hot[0][1]] == "page 0: it came from there."
 
 
+def test_the_editor_decides_names(spark):
+    texts = [("n", "There came Rnasa.")] + [(f"b{i % 4}", "There came Masa.") for i in range(40)]
+    rows = [("word", None, None, None, b, w.lower().strip("."), None, 1, int(w.islower())) for b, t in texts for w in t.split()]
+    facts = spark.createDataFrame(rows, scans.FACTS)
+    e, words = editor.Editor([]), scans.vocabulary(facts)
+    assert scans.misread_words(words, facts, e).isEmpty()
+    e.weights = {("cr", "Rm"): 1.0}
+    assert [tuple(r) for r in scans.misread_words(words, facts, e).collect()] == [("rnasa", "masa", True)]
+
+
 def test_edit_metric_and_near():
     def slow(a, b):
         d = list(range(len(b) + 1))
