@@ -13,14 +13,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.llm.fmindex import suffix_array
 from pagelake.sources.tables import table
 
-#: Parameters: words for one automaton (longer pages take several), least and most words of a clause (twice as many where
+#: Parameters: words up to which a page takes an automaton (longer ones a suffix array, with the same result), least and most words of a clause (twice as many where
 #: words are single characters), the share of a clause under a word pair that it repeats, and the two shares of a page.
 WINDOW, CLAUSE_WORDS, LONGEST_CLAUSE, STUFFED, BARE_SHARE, SPAM_SHARE = 50_000, 5, 60, 0.6, 0.6, 0.5
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
@@ -66,6 +68,28 @@ def repeats(words: list[str]) -> list[int]:
     return [length[v] if inner[v] else length[link[v]] for v in ends]
 
 
+def repeats_of_long(words: list[str]) -> list[int]:
+    """The same as :func:`repeats` from the suffix array of the reversed words, in flat arrays."""
+    known: dict[str, int] = {}
+    text = np.array([known.setdefault(w, len(known) + 1) for w in reversed(words)], np.int64)
+    order = suffix_array(text)
+    n = len(text)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    t, before, ranks = text.tolist(), order.tolist(), rank.tolist()
+    common, h = [0] * (n + 1), 0
+    for i, r in enumerate(ranks):
+        if not r:
+            h = 0
+            continue
+        j = before[r - 1]
+        while i + h < n and j + h < n and t[i + h] == t[j + h]:
+            h += 1
+        common[r] = h
+        h = max(h - 1, 0)
+    return [max(common[r], common[r + 1]) for r in reversed(ranks)]
+
+
 def _ordered(lines: list[str]) -> bool:
     """Whether the lines are a list in order: entry numbers that rise, or entry words in alphabetical order without repeats."""
     numbers, heads = [], []
@@ -118,9 +142,7 @@ def measure(text: str | None, needed: float = 0.0) -> tuple[int, int, int, int,
     bare = sum(sum(size[i:j]) for i, j in loose)
     if bare <= needed * total and needed:
         return total, bare, 0, 0, False
-    long: list[int] = []
-    for k in range(0, n, WINDOW):
-        long += repeats(words[k : k + WINDOW])
+    long = repeats(words) if n <= WINDOW else repeats_of_long(words)
     covered, until = [False] * n, n
     for i in range(n - 1, -1, -1):
         if long[i] >= 2:
@@ -139,7 +161,7 @@ def spam_pages(df: DataFrame, key: str, text: str, bare_share: float = BARE_SHAR
     Without all_coverage the automata of pages that their clauses clear are not built, and their coverage is 0.
 
     A null, empty or wordless text has zero shares and is no spam; repeated rows count once; other columns are
-    ignored. Whole texts are read; pages above WINDOW words get an automaton for each WINDOW words.
+    ignored. Whole texts are read; pages above WINDOW words get a suffix array.
     """
     needed = 0.0 if all_coverage else bare_share
     out = f"`{key}` {df.schema[key].dataType.simpleString()}, coverage double, bare double, spam_share double, is_spam boolean"

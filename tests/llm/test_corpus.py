@@ -132,6 +132,15 @@ def test_repeats_by_brute_force():
         assert spam.repeats(s) == want
 
 
+def test_repeats_of_long_pages():
+    rng = random.Random(8)
+    for _ in range(60):
+        s = [rng.choice("abc") for _ in range(rng.randrange(1, 40))]
+        assert spam.repeats_of_long(s) == spam.repeats(s)
+    n, bare, under, cov, _ = spam.measure(" ".join(f"w{i}" for i in range(60_000)) + " " + " ".join(f"w{i}" for i in range(60_000)))
+    assert n == bare == under == cov
+
+
 def test_spam(spark):
     prose = "The old clerks kept a wooden lamp near the river. Nobody opened the garden, although the widow measured it. In 1847 the painters drained seven ponds."
     docs = {
