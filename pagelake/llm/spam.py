@@ -3,7 +3,7 @@
 Each page's words go into a suffix automaton. For every position it gives the longest substring that
 ends there and occurs elsewhere in the page; the letters under such repeats of two words or more are the
 repeat coverage. A segment (sentence or line) has clause structure if it is long enough, is closed as a
-sentence and does not repeat a word pair within itself. A page is spam if most of it lacks clause
+sentence and does not repeat a word pair within itself (four characters where words are single characters). A page is spam if most of it lacks clause
 structure and most of that part is repeats, links or tags, unless it is an ordered list that serves a
 reader (numbered or alphabetical entries). One narrow pass over the texts, no shuffle.
 """
@@ -130,11 +130,12 @@ def measure(text: str | None, needed: float = 0.0) -> tuple[int, int, int, int,
         plain = [k for k in range(i, j) if not marked[spans[k][0]]] if marks else range(i, j)
         wide = 1 if latin else 1 + (sum(size[k] == 1 and words[k] > "\x7f" for k in plain) > len(plain) // 2)
         clause = bool(m.group().strip()) and CLAUSE_WORDS * wide <= len(plain) <= LONGEST_CLAUSE * wide and 2 * len(plain) > j - i
-        if clause and wide == 1:
-            pairs = list(zip(words[i : j - 1], words[i + 1 : j]))
-            if len(set(pairs)) < len(pairs):
-                times = Counter(pairs)
-                twice = {x for k, q in enumerate(pairs) if times[q] > 1 for x in (i + k, i + k + 1)}
+        if clause:
+            run = 2 * wide
+            runs = list(zip(*(words[k : j - run + 1 + k - i] for k in range(i, i + run))))
+            if len(set(runs)) < len(runs):
+                times = Counter(runs)
+                twice = {x for k, q in enumerate(runs) if times[q] > 1 for x in range(i + k, i + k + run)}
                 clause = sum(size[k] for k in twice) < STUFFED * sum(size[i:j])
         if not clause:
             loose.append((i, j))

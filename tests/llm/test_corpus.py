@@ -141,6 +141,14 @@ def test_repeats_of_long_pages():
     assert n == bare == under == cov
 
 
+def test_wide_stuffing_is_no_clause():
+    stuffed = "羊毛毯子批发，羊毛毯子价格，羊毛毯子厂家，羊毛毯子报价。"
+    prose = "老馆长在冬天之前把那张海图放进木箱。没有人打开河边的旧灯，尽管寡妇已经量过它。"
+    n, bare, under, _, _ = spam.measure(stuffed * 6, spam.BARE_SHARE)
+    assert bare > spam.BARE_SHARE * n and under > spam.SPAM_SHARE * bare
+    assert spam.measure(prose * 3, spam.BARE_SHARE)[1] == 0
+
+
 def test_spam(spark):
     prose = "The old clerks kept a wooden lamp near the river. Nobody opened the garden, although the widow measured it. In 1847 the painters drained seven ponds."
     docs = {
