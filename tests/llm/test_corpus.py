@@ -109,6 +109,18 @@ def test_mix(spark):
     assert all(r.share == 0 for r in mixing.mix(d.where("1 = 0"), t)[1].collect())
 
 
+def test_short_follows_the_flow(spark, monkeypatch):
+    d = spark.createDataFrame([(1, ["a"], 10), (2, ["b"], 90)], "id long, sources array<string>, size int")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert {r.source: r.short for r in mixing.mix(d, t)[1].collect()} == {"a": True, "b": False}
+    monkeypatch.setattr(mixing, "route", lambda capacity, quota, repeats: {((s,), s, 1): q for s, q in quota.items()})
+    assert not any(r.short for r in mixing.mix(d, t)[1].collect())
+    # 10.4 tokens are due, rounded to the 10 that there are
+    monkeypatch.undo()
+    t = spark.createDataFrame([("a", 0.104, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.mix(d, t)[1].first().short
+
+
 def test_token_count_is_exact(spark):
     import tiktoken  # noqa: F401
 
