@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.language import Model, fit
@@ -22,7 +22,7 @@ from pagelake.session import cut
 from pagelake.sources.tables import table
 
 #: Parameters: compressed size under the source's dictionary against alone below which a response is a copy; letters up to
-#: which a response that opens with a refusal is one; natural logarithms of how far off the usual length a response is cut
+#: which a response that opens with a refusal is one (a longer one is if its length is as far off as SHORTER, either way); natural logarithms of how far off the usual length a response is cut
 #: if it ends in a mark of omission, without a close, or lacks sentences, and in any case.
 COPY, REFUSAL_LETTERS, NEARLY, SHORT, LACKING, SHORTER = 0.45, 160, 0.1, -0.3, -0.36, -0.55
 #: Words of refusal by language.
@@ -68,29 +68,42 @@ def copied(source: str, response: str) -> float:
     return len(with_it) / len(zstandard.ZstdCompressor(**plain).compress(r))
 
 
-def measure(model: Model, source: str | None, response: str | None, due: str | None) -> tuple:
-    """(certain defect or None, script of the source, logarithm of the lengths' ratio or None, how badly it ends (2 in a mark of omission, 1 open), sentences missing)."""
+def _same(source: str, response: str) -> bool:
+    """Whether the response is the source, signs, case and small changes aside."""
+    a, b = ("".join(c for c in x.casefold() if c.isalnum()) for x in (source, response))
+    return any(c.isalpha() for c in a) and (a == b or copied(source, response) < COPY)
+
+
+def measure(model: Model, source: str | None, response: str | None, due: str | None, context: str | None = None) -> tuple:
+    """(certain defect or None, script of the source, logarithm of the lengths' ratio or None, how badly it ends (2 in a mark of omission, 1 open), sentences missing, whether it opens with a refusal).
+
+    context is text of the source's page; it tells the language of a copy that is too short to have one.
+    """
     if not response or not any(c.isalnum() for c in response):
-        return "empty", None, None, 0, 0
+        return "empty", None, None, 0, 0, False
     source = source or ""
     letters = len(_WIDE_LETTERS.findall(response))
     opening = response[_LABEL.match(response).end() :]
     first = _SENTENCE.split(opening, 1)[0]
-    if letters <= REFUSAL_LETTERS and REFUSAL.search(first):
-        return "refusal", None, None, 0, 0
-    lang, _ = model.decode(response)
-    if lang and due in model.languages and lang != due:
-        return "copy" if copied(source, response) < COPY else "wrong_language", None, None, 0, 0
+    refuses = REFUSAL.search(first) is not None
+    if letters <= REFUSAL_LETTERS and refuses:
+        return "refusal", None, None, 0, 0, True
     of = len(_WIDE_LETTERS.findall(source))
     ratio = math.log((letters + 1) / (of + 1)) if of >= 8 else None
+    lang, _ = model.decode(response)
+    if lang and due in model.languages and lang != due:
+        copy = copied(source, response) < COPY
+        return "copy" if copy else "wrong_language", script_of(source), ratio, 0, 0, refuses and not copy
+    if not lang and context and due in model.languages and _same(source, response) and (model.decode(context)[0] or due) != due:
+        return "copy", None, None, 0, 0, False
     closed = source.rstrip(QUOTES + "0123456789(（")[-1:] in CLOSE
     end = response.rstrip()
     broken = 2 if end.endswith(("…", "...", "[", " -", "(", ",", ";")) else int(closed and end.rstrip(QUOTES)[-1:] not in CLOSE)
-    return None, script_of(source), ratio, broken, len(_SENTENCE.findall(source)) - len(_SENTENCE.findall(response))
+    return None, script_of(source), ratio, broken, len(_SENTENCE.findall(source)) - len(_SENTENCE.findall(response)), refuses
 
 
 def defects(pairs: DataFrame, model: Model) -> DataFrame:
-    """(record_table, record_id, item, defect) for each defective pair of (record_table, record_id, item, source, response, due).
+    """(record_table, record_id, item, defect) for each defective pair of (record_table, record_id, item, source, response, due), with context (text of the source's page) if there is such a column.
 
     due is the two-letter code of the language due; for one that the model does not know no language is judged. A
     response without letter or digit, null included, is 'empty'; a pair whose source has no letters can only be empty
@@ -100,28 +113,35 @@ def defects(pairs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, k, i, due, *measure(said.value, s, r, due)) for t, k, i, s, r, due in zip(b["record_table"], b["record_id"], b["item"], b["source"], b["response"], b["due"])]
-            yield pd.DataFrame(rows, columns=["record_table", "record_id", "item", "due", "defect", "script", "ratio", "broken", "missing"])
+            rows = [(t, k, i, due, *measure(said.value, s, r, due, c)) for t, k, i, s, r, due, c in zip(b["record_table"], b["record_id"], b["item"], b["source"], b["response"], b["due"], b["context"])]
+            yield pd.DataFrame(rows, columns=["record_table", "record_id", "item", "due", "defect", "script", "ratio", "broken", "missing", "refuses"])
 
-    kinds = "record_table string, record_id long, item int, due string, defect string, script string, ratio double, broken int, missing int"
-    m = cut(pairs.select("record_table", "record_id", "item", "source", "response", "due").mapInPandas(run, kinds))
-    usual = m.where("ratio is not null").groupBy("script", "due").agg(F.percentile_approx("ratio", 0.5, 1_000).alias("usual"))
+    kinds = "record_table string, record_id long, item int, due string, defect string, script string, ratio double, broken int, missing int, refuses boolean"
+    pairs = pairs if "context" in pairs.columns else pairs.withColumn("context", F.lit(None).cast("string"))
+    m = cut(pairs.select("record_table", "record_id", "item", "source", "response", "due", "context").mapInPandas(run, kinds))
+    usual = m.where("ratio is not null and defect is null").groupBy("script", "due").agg(F.percentile_approx("ratio", 0.5, 1_000).alias("usual"))
     below = F.col("ratio") - F.col("usual")
     broken, missing = F.col("broken"), F.col("missing")
     cut_off = (below < SHORTER) | (broken > 0) & (below < SHORT) | (missing > 0) & (below < LACKING) | (broken > 1) & (below < NEARLY)
-    found = m.join(F.broadcast(usual), ["script", "due"], "left").withColumn("defect", F.coalesce("defect", F.when(cut_off, F.lit("truncated"))))
+    refusal = F.col("refuses") & (F.abs(below) > -SHORTER)
+    found = m.join(F.broadcast(usual), ["script", "due"], "left").withColumn("defect", F.coalesce(F.when(refusal, F.lit("refusal")), "defect", F.when(cut_off, F.lit("truncated"))))
     return found.where("defect is not null").select("record_table", "record_id", "item", "defect").distinct()
 
 
+def _context(source: Column, texts: Column) -> Column:
+    """The beginning of a page's texts, only for a source that may be too short to have a language."""
+    return F.when(F.length(source) < 60, F.substring(F.concat_ws(" ", texts), 1, 400))
+
+
 def corpus_pairs(spark: SparkSession, root: str) -> DataFrame:
     """The pairs of both tables: blocks with their translations, and the elements of source and target."""
     t = table(spark, root, "translated_blocks", "translated_id", "extraction_id", "block_id", "target_lang", "translated_text")
     p = table(spark, root, "page_extractions", "extraction_id", "blocks")
-    texts = p.select("extraction_id", F.explode("blocks").alias("b")).select("extraction_id", F.col("b.id").alias("block_id"), F.col("b.text").alias("source"))
-    a = t.join(texts, ["extraction_id", "block_id"]).select(F.lit("translated_blocks").alias("record_table"), F.col("translated_id").alias("record_id"), F.lit(0).alias("item"), "source", F.col("translated_text").alias("response"), F.col("target_lang").alias("due"))
+    texts = p.select("extraction_id", F.col("blocks.text").alias("texts"), F.explode("blocks").alias("b")).select("extraction_id", F.col("b.id").alias("block_id"), F.col("b.text").alias("source"), _context(F.col("b.text"), F.col("texts")).alias("context"))
+    a = t.join(texts, ["extraction_id", "block_id"]).select(F.lit("translated_blocks").alias("record_table"), F.col("translated_id").alias("record_id"), F.lit(0).alias("item"), "source", F.col("translated_text").alias("response"), F.col("target_lang").alias("due"), "context")
     c = table(spark, root, "corpus_pages", "page_key", "source", "target")
-    c = c.select("page_key", "target", F.posexplode("source").alias("item", "source"))
-    b = c.select(F.lit("corpus_pages"), "page_key", "item", "source", F.get("target", F.col("item")), F.lit("en"))
+    c = c.select("page_key", "target", F.col("source").alias("texts"), F.posexplode("source").alias("item", "source"))
+    b = c.select(F.lit("corpus_pages"), "page_key", "item", "source", F.get("target", F.col("item")), F.lit("en"), _context(F.col("source"), F.col("texts")))
     return a.union(b)
 
 

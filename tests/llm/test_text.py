@@ -204,3 +204,14 @@ def test_pair_defects(spark, model):
     assert [got.get(i) for i in range(len(cases))] == want
     assert pairs.defects(df.where("1 = 0"), model).isEmpty()
     assert unicodedata.normalize("NFC", src) == src
+
+
+def test_short_copies_and_long_refusals(spark, model):
+    page = "Der Archivar der Salzgesellschaft fand die Seekarte vom Flusshafen."
+    right = "The archivist of the salt company found the sea chart from the river port."
+    no = "I am sorry, but I cannot translate this passage for you because it does not follow the rules that were given to me, and so I would ask you to send another passage that I may read and work on, or to turn to a person who knows the language well and can help you further"
+    cases = [(page, right)] * 6 + [("Alte Karten", "Alte Karten"), ("Alte Karten", "Old maps"), ("12", "12"), (page, no + ".")]
+    df = spark.createDataFrame([("t", i, 0, s, r, "en", page) for i, (s, r) in enumerate(cases)], "record_table string, record_id long, item int, source string, response string, due string, context string")
+    assert {r.record_id: r.defect for r in pairs.defects(df, model).collect()} == {6: "copy", 9: "refusal"}
+    english = df.where("record_id = 6").withColumn("context", F.lit(right))
+    assert pairs.defects(english, model).isEmpty()
