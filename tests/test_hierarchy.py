@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 
-from pagelake.operators.hierarchy import CYCLE, descendants, edges_of, hierarchy
+from pagelake.operators.components import components
+from pagelake.operators.hierarchy import CYCLE, contract, descendants, edges_of, hierarchy, subtree_sizes
 
 
 def brute(edges):
@@ -34,15 +36,16 @@ def brute(edges):
     return rows, down
 
 
-@pytest.mark.parametrize("finish", [0, 6, 1_000])
+@pytest.mark.parametrize(("limit", "finish"), [(0, 0), (6, 0), (6, 1_000), (1_000, 1_000)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, finish, seed):
+def test_against_brute_force(spark, limit, finish, seed):
+    """In rounds, mixed and in tasks: always the same rows."""
     rng = random.Random(seed)
     edges = {(f"n{rng.randrange(1, 22)}", f"n{rng.randrange(0, 21)}") for _ in range(9)} | {(f"t{i}", f"t{i // 2}") for i in range(1, 9)} | {("x", "x"), ("y", "x")}
     df = spark.createDataFrame([*edges, *list(edges)[:3], (None, "a"), ("b", None), ("c", " "), ("", "d")], "c string, p string")
     e = edges_of(df, "c", "p", "g")
     rows, down = brute(edges)
-    got = hierarchy(e, finish=finish).collect()
+    got = hierarchy(e, limit=limit, finish=finish).collect()
     assert {(r.node_id, r.root_id, r.depth) for r in got} == rows
     assert len(got) == len(rows)
     for r in got:
@@ -53,9 +56,41 @@ def test_against_brute_force(spark, finish, seed):
         else:
             assert r.path is None
     if seed == 1:
-        assert {(r.node_id, r.descendant_id) for r in descendants(e, finish=finish).collect()} == down
+        found = descendants(e, limit=limit, finish=finish).collect()
+        assert {(r.node_id, r.descendant_id) for r in found} == down and len(found) == len(down)
+        sizes = Counter(n for n, _ in down)
+        assert {(r.node_id, r.subtree) for r in subtree_sizes(e, limit=limit, finish=finish).collect()} == set(sizes.items())
 
 
 def test_empty(spark):
     e = edges_of(spark.createDataFrame([], "c string, p string, path string, root_id string"), "c", "p", "g")
     assert hierarchy(e).isEmpty() and descendants(e).isEmpty()
+
+
+def test_long_chain_in_few_rounds(spark):
+    chain = [(f"n{i + 1:03}", f"n{i:03}") for i in range(200)] + [(f"loop{i}", f"loop{(i + 1) % 5}") for i in range(5)]
+    e = edges_of(spark.createDataFrame(chain, "c string, p string"), "c", "p", "g")
+    rest, inner = contract(e)
+    assert [(r.child, r.parent, r.steps) for r in rest.collect()] == [("n200", "n000", 200)] and inner.where("top is null").count() == 5
+    got = {r.node_id: r for r in hierarchy(e, limit=0).collect()}
+    assert len(got) == 205 and all(got[f"n{i:03}"].depth == i and got[f"n{i:03}"].path.count("/") == i for i in range(1, 201))
+    assert all(got[f"loop{i}"].root_id == CYCLE for i in range(5))
+
+
+@pytest.mark.parametrize("finish", [0, 1_000])
+def test_components(spark, finish):
+    rng = random.Random(4)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), finish).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            parent[find(a)] = find(b)
+    assert set(got) == set(parent)
+    assert all((got[a] == got[b]) == (find(a) == find(b)) for a in got for b in got)
