@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pagelake.session import cut
 from pagelake.sources.tables import table
 
-CAPACITY, SALTS = 2_400, 32
+#: Parameters: capacity, salts of a ranking, and the ranks that one task matches with the ranges of a length.
+CAPACITY, SALTS, RANKS = 2_400, 32, 256
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int, shortest_first: bool = True) -> list[tuple[int, tuple[int, ...]]]:
@@ -85,14 +86,14 @@ def _plan(capacity: int):
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """(key, id, part, size, divided, batch): each part of each item with its batch, numbered from 0 within its key.
+    """(key, id, part, size, batch): each part of each item with its batch, numbered from 0 within its key.
 
     ``items``: (key, id, entries), entries the lengths of what an item consists of. An item above ``capacity`` is
     divided between its entries, in their order, into parts of at most ``capacity`` (an entry that is itself longer is
     cut by length); all others stay whole. A repeated (key, id) is one item, the longest of its rows; a null id is
     ignored; null entries count 0, and null or no entries make an item of length 0, which is put into any batch;
     a null key is a key of its own. No items give no rows. Of shortest-pack-first and best fit the plan with fewer
-    batches is taken, shortest-pack-first if equal.
+    batches is taken, shortest-pack-first if equal. An item is divided if its parts lie in several batches.
     """
     lengths = "transform(coalesce(entries, array()), x -> cast(coalesce(x, 0) as int))"
     one = items.where("id is not null").select("key", "id", F.expr(lengths).alias("e")).withColumn("size", F.expr("aggregate(e, 0L, (a, x) -> a + x)"))
@@ -105,17 +106,18 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -
             if(x > {capacity}, cast((x - 1) % {capacity} + 1 as int), x) as cur) end,
         a -> if(a.cur > 0 or size(a.done) = 0, array_append(a.done, a.cur), a.done))"""
     )
-    pieces = one.select("key", "id", (F.col("size") > capacity).alias("divided"), F.posexplode(parts).alias("part", "size"))
+    pieces = one.select("key", "id", F.posexplode(parts).alias("part", "size"))
     pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(salts)).cast("int")))
     per = pieces.groupBy("key", "size", "salt").agg(F.count("*").alias("c"))
     before = per.withColumn("before", F.sum("c").over(W.partitionBy("key", "size").orderBy("salt")) - F.col("c")).select("key", "size", "salt", "before")
     ranges = per.groupBy("key", "size").agg(F.sum("c").alias("n")).groupBy("key").applyInPandas(_plan(capacity), "key string, size int, first long, last long, each int, pack long")
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
     ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("id", "part")))
-    ranked = ranked.join(before, same(ranked, before, "key", "size", "salt")).select(ranked["*"], (F.col("r") + F.col("before")).alias("rank"))
-    return ranked.join(ranges, [*same(ranked, ranges, "key", "size"), ranked["rank"].between(ranges["first"], ranges["last"])]).select(
-        ranked["key"], "id", "part", ranked["size"], "divided", (F.col("pack") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("batch")
-    )
+    # ranks and ranges meet in stretches of RANKS, so a length that most items have is many small joins
+    ranked = ranked.join(before, same(ranked, before, "key", "size", "salt")).select(ranked["*"], (F.col("r") + F.col("before")).alias("rank")).withColumn("at", F.floor(F.col("rank") / RANKS))
+    ranges = ranges.withColumn("at", F.explode(F.sequence(F.floor(F.col("first") / RANKS), F.floor(F.col("last") / RANKS))))
+    packed = ranked.join(ranges, [*same(ranked, ranges, "key", "size", "at"), ranked["rank"].between(ranges["first"], ranges["last"])])
+    return packed.select(ranked["key"], "id", "part", ranked["size"], (F.col("pack") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("batch"))
 
 
 def group_items(spark: SparkSession, root: str) -> DataFrame:
@@ -126,7 +128,9 @@ def group_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return pack_items(group_items(spark, root)).where("divided").select(F.col("id").alias("group_id")).distinct()
+    """The groups that the plan lays into more than one batch."""
+    packed = pack_items(group_items(spark, root)).groupBy("key", "id").agg(F.min("batch").alias("first"), F.max("batch").alias("last"))
+    return packed.where("first < last").select(F.col("id").alias("group_id")).distinct()
 
 
 def p4_batches(spark: SparkSession, root: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pagelake.llm.fmindex import suffix_array
 from pagelake.sources.tables import table
 
-#: Parameters: words up to which a page takes an automaton (longer ones a suffix array, with the same result), least and most words of a clause (twice as many where
+#: Parameters: words in repeated pairs up to which a page takes an automaton (longer ones a suffix array, with the same result), least and most words of a clause (twice as many where
 #: words are single characters), the share of a clause under a word pair that it repeats, and the two shares of a page.
 WINDOW, CLAUSE_WORDS, LONGEST_CLAUSE, STUFFED, BARE_SHARE, SPAM_SHARE = 50_000, 5, 60, 0.6, 0.6, 0.5
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
@@ -90,6 +90,38 @@ def repeats_of_long(words: list[str]) -> list[int]:
     return [max(common[r], common[r + 1]) for r in reversed(ranks)]
 
 
+def repeated_ends(words: list[str]) -> list[int]:
+    """:func:`repeats` where it is two or more, else 0.
+
+    A repeat of two words or more consists of word pairs that occur twice, so the automaton is fed the runs of such pairs only, each
+    run closed by a symbol of its own; no repeat crosses the gap between two runs.
+    """
+    n = len(words)
+    pairs = list(zip(words, words[1:]))
+    times = Counter(pairs)
+    if len(times) == len(pairs):
+        return [0] * n
+    fed: list = []
+    at: list[int] = []
+    until = -1
+    for i, q in enumerate(pairs):
+        if times[q] > 1:
+            if until != i:
+                if fed:
+                    fed.append(-i - 1)
+                    at.append(-1)
+                fed.append(words[i])
+                at.append(i)
+            fed.append(words[i + 1])
+            at.append(i + 1)
+            until = i + 1
+    out = [0] * n
+    for i, k in zip(at, repeats(fed) if len(fed) <= WINDOW else repeats_of_long(fed)):
+        if i >= 0 and k > 1:
+            out[i] = k
+    return out
+
+
 def _ordered(lines: list[str]) -> bool:
     """Whether the lines are a list in order: entry numbers that rise, or entry words in alphabetical order without repeats."""
     numbers, heads = [], []
@@ -103,12 +135,8 @@ def _ordered(lines: list[str]) -> bool:
     return len(numbers) >= 0.7 * len(lines) and rising(numbers) or len(heads) >= 0.7 * len(lines) and rising(heads)
 
 
-def measure(text: str | None, needed: float = 0.0) -> tuple[int, int, int, int, bool]:
-    """(letters, letters outside clauses, of these under repeats or in links and tags, letters under repeats, whether it is an ordered list).
-
-    Clauses come first. The automaton is built if more than the part ``needed`` of the letters is outside clauses; else the
-    letters under repeats are not asked for and given as 0.
-    """
+def measure(text: str | None) -> tuple[int, int, int, int, bool]:
+    """(letters, letters outside clauses, of these under repeats or in links and tags, letters under repeats, whether it is an ordered list)."""
     if not text or not text.strip():
         return 0, 0, 0, 0, False
     marks = [m.span() for pattern in (_LINK, _TAG) for m in pattern.finditer(text)] if _MARKED.search(text) else []
@@ -141,9 +169,7 @@ def measure(text: str | None, needed: float = 0.0) -> tuple[int, int, int, int,
             loose.append((i, j))
         i = j
     bare = sum(sum(size[i:j]) for i, j in loose)
-    if bare <= needed * total and needed:
-        return total, bare, 0, 0, False
-    long = repeats(words) if n <= WINDOW else repeats_of_long(words)
+    long = repeated_ends(words)
     covered, until = [False] * n, n
     for i in range(n - 1, -1, -1):
         if long[i] >= 2:
@@ -156,22 +182,19 @@ def measure(text: str | None, needed: float = 0.0) -> tuple[int, int, int, int,
     return total, bare, spam, sum(s for s, c in zip(size, covered) if c), _ordered(lines[1:] if len(lines) > 6 else lines)
 
 
-def spam_pages(df: DataFrame, key: str, text: str, bare_share: float = BARE_SHARE, spam_share: float = SPAM_SHARE, all_coverage: bool = True) -> DataFrame:
+def spam_pages(df: DataFrame, key: str, text: str, bare_share: float = BARE_SHARE, spam_share: float = SPAM_SHARE) -> DataFrame:
     """(key, coverage, bare, spam_share, is_spam) for each distinct row of (key, text).
 
-    Without all_coverage the automata of pages that their clauses clear are not built, and their coverage is 0.
-
     A null, empty or wordless text has zero shares and is no spam; repeated rows count once; other columns are
-    ignored. Whole texts are read; pages above WINDOW words get a suffix array.
+    ignored. Whole texts are read; of pages with more than WINDOW words in repeated pairs a suffix array takes the automaton's place.
     """
-    needed = 0.0 if all_coverage else bare_share
     out = f"`{key}` {df.schema[key].dataType.simpleString()}, coverage double, bare double, spam_share double, is_spam boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, t in zip(b[key], b["_text"]):
-                n, bare, spam, cov, ordered = measure(t, needed)
+                n, bare, spam, cov, ordered = measure(t)
                 n, part = max(n, 1), spam / max(bare, 1)
                 rows.append((k, cov / n, bare / n, part, not ordered and bare > bare_share * n and part > spam_share))
             yield pd.DataFrame(rows, columns=[key, "coverage", "bare", "spam_share", "is_spam"])
@@ -185,7 +208,7 @@ def p10_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return spam_pages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", all_coverage=False).where("is_spam").select("doc_id").distinct()
+    return spam_pages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").where("is_spam").select("doc_id").distinct()
 
 
 QUERIES = {"p10_found": p10_found, "p10_pages": p10_pages}

@@ -33,17 +33,32 @@ def test_pack_items(spark):
     size, parts = {}, {}
     for r in got:
         size[r.key, r.batch] = size.get((r.key, r.batch), 0) + r["size"]
-        parts.setdefault((r.key, r.id), []).append((r.part, r["size"], r.divided))
+        parts.setdefault((r.key, r.id), []).append((r.part, r["size"], r.batch))
     assert max(size.values()) <= 100
     want = {(k, i): sum(x or 0 for x in e or []) for k, i, e in items if i is not None}
     assert {k: sum(p[1] for p in v) for k, v in parts.items()} == want
-    assert all((len(v) > 1) == (want[k] > 100) == v[0][2] for k, v in parts.items())
+    assert all((len(v) > 1) == (want[k] > 100) == (len({x[2] for x in v}) > 1) for k, v in parts.items())
+    assert len(got) == sum(len(v) for v in parts.values()) == len({(r.key, r.id, r.part) for r in got})
     assert [p[1] for p in sorted(parts["b", 1])] == [90, 90, 30] and [p[1] for p in sorted(parts["b", 2])] == [100, 100, 50]
     least = -(-sum(v for (k, _), v in want.items() if k == "a") // 100)
     assert sum(k == "a" for k, _ in size) <= least * 1.15 + 1
     assert packing.pack_items(df.where("1 = 0"), 100).isEmpty()
 
 
+def test_a_length_of_most_items_meets_few_ranges(spark):
+    df = spark.range(3_000).select(F.lit("a").alias("key"), "id", F.array(F.when(F.col("id") % 7 == 0, 30).otherwise(25).cast("int")).alias("entries"))
+    got = packing.pack_items(df, 100)
+    sizes = got.groupBy("batch").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect()
+    assert got.count() == 3_000 and max(r.n for r in sizes) <= 100 and len(sizes) <= 3_000 / 3.6
+
+
+def test_p4_found_reads_the_plan(spark, data, monkeypatch):
+    df = packing.p4_found(spark, data)
+    assert not df.isEmpty()
+    monkeypatch.setattr(packing, "pack_items", lambda items: spark.createDataFrame([("b", 1, 0, 5, 0), ("b", 1, 1, 5, 1), ("b", 2, 0, 5, 1)], "key string, id long, part int, size int, batch long"))
+    assert [r[0] for r in packing.p4_found(spark, data).collect()] == [1]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_fm_index_by_brute_force(seed):
     rng = np.random.default_rng(seed)
@@ -81,39 +96,57 @@ def test_leaks(spark):
 
 
 def test_route_is_least_cost_and_full():
-    got = mixing.route({("a",): 10, ("a", "b"): 10, ("c",): 4}, {"a": 12, "b": 8, "c": 20}, {"a": 2, "b": 1, "c": 3})
-    by = {}
-    for (p, s, k), n in got.items():
-        assert s in p and 0 < n <= {("a",): 10, ("a", "b"): 10, ("c",): 4}[p] and k <= {"a": 2, "b": 1, "c": 3}[s]
+    room = {("a",): {"a": 10}, ("a", "b"): {"a": 10, "b": 10}, ("c",): {"c": 4}}
+    once, repeats = {p: max(r.values()) for p, r in room.items()}, {"a": 2, "b": 1, "c": 3}
+    got = mixing.route(room, once, {"a": 12, "b": 8, "c": 20}, repeats)
+    by: dict = {}
+    for (p, s), n in got.items():
+        assert 0 < n <= room[p][s] * repeats[s]
         by[s] = by.get(s, 0) + n
     assert by == {"a": 12, "b": 8, "c": 12}
-    assert all(k == 1 for (p, s, k) in got if s != "c")
+    # the shared text is used once at most: b needs 8 of it, so a takes no more than 2 and its own for the rest
+    assert got[("a",), "a"] == 10 and got[("a", "b"), "a"] == 2 and got[("a", "b"), "b"] == 8
+    # nobody loses what only he can use, however many copies there are
+    many = mixing.route({("a", "b"): {"a": 5_000, "b": 10}}, {("a", "b"): 10}, {"a": 100_000, "b": 10}, {"a": 3, "b": 1})
+    assert many == {(("a", "b"), "a"): 15_000, (("a", "b"), "b"): 10}
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, "id long, source string, text string, size int")
 
 
 def test_mix(spark):
     rng = random.Random(4)
-    docs = [(i, [rng.choice("aaab")], rng.randrange(1, 50)) for i in range(2_000)] + [(5_000, ["a", "c"], 40), (5_001, None, 9), (5_002, [None], 9), (5_003, ["b"], None), (5_004, ["zz"], 70)]
-    d = spark.createDataFrame(docs, "id long, sources array<string>, size int")
+    rows = [(i, rng.choice("aaab"), f"t{i}", rng.randrange(1, 50)) for i in range(2_000)] + [(5_000, "a", "both", 40), (5_005, "c", "both", 40), (5_001, None, "x", 9), (5_002, None, None, 9), (5_003, "b", "y", None), (5_004, "zz", "z", 70)]
+    d = _records(spark, rows).withColumn("pattern", F.lit("clash"))
     targets = [("a", 0.4, 3), ("b", 0.5, 2), ("c", 0.1, 4), (None, 0.0, 1)]
     t = spark.createDataFrame([*targets, targets[0]], "source string, target_share double, max_repeats int")
     mixture, shares = mixing.mix(d, t)
     got = {r.source: r for r in shares.collect()}
-    total = sum(x[2] or 0 for x in docs)
+    total = sum(x[3] or 0 for x in rows)
     assert abs(got["a"].share - 0.4) < 0.01 and not got["a"].short
-    have = sum(x[2] or 0 for x in docs if x[1] and "b" in x[1])
-    assert got["b"].short == (have * 2 < 0.5 * total) and got["c"].short
+    have = sum(x[3] or 0 for x in rows if x[1] == "b")
+    assert got["b"].short == (have * 2 < 0.5 * total) and got["c"].short and got["c"].tokens == 160
     assert max(r.uses for r in mixture.where("source = 'b'").collect()) <= 2
     used = mixture.groupBy("source").agg(F.sum(F.col("uses") * F.col("size")).alias("n")).collect()
     assert {r.source: r.n for r in used} == {s: r.tokens for s, r in got.items() if r.tokens}
     assert sorted(map(tuple, mixture.collect())) == sorted(map(tuple, mixing.mix(d.repartition(3), t)[0].collect()))
     assert all(r.share == 0 for r in mixing.mix(d.where("1 = 0"), t)[1].collect())
+    # beyond the patterns that the driver may hold each source has its own, with the same shares due
+    assert {r.source: (r.short, r.quota, r.available) for r in mixing.mix(d, t, patterns=1)[1].collect()} == {s: (r.short, r.quota, r.available) for s, r in got.items()}
+
+
+def test_a_shared_text_is_used_once_before_any_is_used_twice(spark):
+    d = _records(spark, [(1, "a", "one", 10), (2, "b", "one", 10), (3, "a", "two", 10), (4, "b", "three", 10)])
+    t = spark.createDataFrame([("a", 0.25, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    assert {(r.id, r.source, r.uses) for r in mixing.mix(d, t)[0].collect()} == {(3, "a", 1), (2, "b", 1), (4, "b", 1)}
 
 
 def test_short_follows_the_flow(spark, monkeypatch):
-    d = spark.createDataFrame([(1, ["a"], 10), (2, ["b"], 90)], "id long, sources array<string>, size int")
+    d = _records(spark, [(1, "a", "x", 10), (2, "b", "y", 90)])
     t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
     assert {r.source: r.short for r in mixing.mix(d, t)[1].collect()} == {"a": True, "b": False}
-    monkeypatch.setattr(mixing, "route", lambda capacity, quota, repeats: {((s,), s, 1): q for s, q in quota.items()})
+    monkeypatch.setattr(mixing, "route", lambda room, once, quota, repeats: {((s,), s): q for s, q in quota.items()})
     assert not any(r.short for r in mixing.mix(d, t)[1].collect())
     # 10.4 tokens are due, rounded to the 10 that there are
     monkeypatch.undo()
@@ -144,6 +177,13 @@ def test_repeats_by_brute_force():
         assert spam.repeats(s) == want
 
 
+def test_repeats_from_repeated_pairs():
+    rng = random.Random(9)
+    for _ in range(200):
+        s = [rng.choice("abcdef") for _ in range(rng.randrange(0, 40))]
+        assert spam.repeated_ends(s) == [k if k > 1 else 0 for k in spam.repeats(s)]
+
+
 def test_repeats_of_long_pages():
     rng = random.Random(8)
     for _ in range(60):
@@ -156,9 +196,9 @@ def test_repeats_of_long_pages():
 def test_wide_stuffing_is_no_clause():
     stuffed = "羊毛毯子批发，羊毛毯子价格，羊毛毯子厂家，羊毛毯子报价。"
     prose = "老馆长在冬天之前把那张海图放进木箱。没有人打开河边的旧灯，尽管寡妇已经量过它。"
-    n, bare, under, _, _ = spam.measure(stuffed * 6, spam.BARE_SHARE)
+    n, bare, under, _, _ = spam.measure(stuffed * 6)
     assert bare > spam.BARE_SHARE * n and under > spam.SPAM_SHARE * bare
-    assert spam.measure(prose * 3, spam.BARE_SHARE)[1] == 0
+    assert spam.measure(prose * 3)[1] == 0
 
 
 def test_spam(spark):
