@@ -1,17 +1,18 @@
 """Evaluation texts inside training texts: an FM-index per shard of the corpus, searched for test phrases.
 
-Each task gathers its documents into shards of at most SHARD words and indexes them; every phrase of SEED words of
+Each task gathers its documents into shards of at most SHARD words and indexes each once; every phrase of SEED words of
 every test item is found by backward search and located by sampled suffix positions. Occurrences of an item in
 a document are chained along the text and stretched over single changed words; a chain that spans a third of the
-item is a leak, and its place in the text is a span to remove. No document meets another, so nothing is shuffled;
-the test items travel to the tasks in parts of at most PART letters.
+item is a leak, and its place in the text is a span to remove. A stretch that agrees in AGREE of its places has a run of SEED
+agreeing words, so no leak is missed by the seeds. No document meets another, so nothing is shuffled; the test items
+travel to the tasks in blocks of at most PART letters, one of which a task holds at a time.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 from pagelake.llm.fmindex import FMIndex
 from pagelake.sources.tables import table
 
-#: Words of a seed (characters where a script has no spaces), words of a shard, items of a block, letters of items
-#: that travel at once, the part of an item that counts as a leak, the least part of a stretch that agrees, how far a stretch may shift at a change, and the
-#: part of an item's seeds that a document must have before it is looked at closely.
-SEED, SEED_WIDE, SHARD, BLOCK, PART, LEAK, AGREE, SHIFT, DENSE = 4, 7, 400_000, 5_000, 16_000_000, 1 / 3, 0.7, 3, 0.06
+#: Parameters: words of a seed (characters where a script has no spaces), words of a shard, letters of items of a block, the part of an
+#: item that counts as a leak, the least part of a stretch's places that agree, and how far a stretch may shift at a change.
+SEED, SHARD, PART, LEAK, AGREE, SHIFT = 3, 400_000, 4_000_000, 1 / 3, 0.7, 3
 _WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
 _TOKEN = regex.compile(rf"[{_WIDE}]\p{{M}}*|(?:(?![{_WIDE}])[\p{{L}}\p{{M}}\p{{N}}\p{{Cf}}])+(?:[-­¬‐]\s*\n\s*(?:(?![{_WIDE}])[\p{{L}}\p{{M}}\p{{N}}])+)*")
 _ASCII = re.compile(r"[A-Za-z0-9]+(?:-\s*\n\s*[A-Za-z0-9]+)*")
@@ -66,165 +66,194 @@ def _plain(text: str) -> str:
     return _ESCAPED.sub("  ", text) if "\\" in text else text
 
 
-def passages(items: list[tuple[int, str | None]]) -> list[tuple[int, str]]:
-    """(item_id, passage): items without their instruction and question lines.
+def _lines(text: str | None) -> list[str]:
+    return [x for x in (text or "").split("\n") if x.strip()]
+
+
+def _head(text: str | None) -> str | None:
+    """The first line of several, in the form in which items share it."""
+    lines = _lines(text)
+    return lines[0].strip().casefold() if len(lines) > 1 else None
+
+
+def _passage(text: str | None, shared: bool) -> str:
+    lines = _lines(text)
+    if len(lines) > 1 and shared:
+        lines = lines[1:]
+    while len(lines) > 1 and _LINE_QUESTION.search(lines[-1]):
+        lines = lines[:-1]
+    return "\n".join(lines)
+
+
+def passages(items: DataFrame) -> DataFrame:
+    """(item_id, text): distinct items without their instruction and question lines.
 
     A line is one if it ends in a question mark or starts with a label and is the last of several, or if it is the first of
-    several and other items begin with it too.
+    several and other items, of all there are, begin with it too. Null and blank items give no row.
     """
-    split = [(i, [x for x in (t or "").split("\n") if x.strip()]) for i, t in items]
-    heads = Counter(x[0].strip().casefold() for _, x in split if len(x) > 1)
-    out = []
-    for i, lines in split:
-        if len(lines) > 1 and heads[lines[0].strip().casefold()] > 1:
-            lines = lines[1:]
-        while len(lines) > 1 and _LINE_QUESTION.search(lines[-1]):
-            lines = lines[:-1]
-        if lines:
-            out.append((i, "\n".join(lines)))
-    return out
+    i = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    i = i.withColumn("head", F.pandas_udf(lambda t: t.map(_head), "string")("text"))
+    shared = i.where("head is not null").groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head", F.lit(True).alias("shared"))
+    cut_ = F.pandas_udf(lambda t, s: pd.Series([_passage(x, bool(y)) for x, y in zip(t, s)]), "string")
+    j = i.join(shared, "head", "left").select("item_id", cut_("text", F.coalesce("shared", F.lit(False))).alias("text"))
+    return j.where("text <> ''").distinct()
 
 
 class Block:
-    """A block of items: their words as numbers, and their seeds."""
+    """A block of items: their words, the items one after another as numbers of words, and their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], leak: float = LEAK, agree: float = AGREE):
         words = Words()
-        self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, list[int], np.ndarray]] = []
-        seeds: dict[int, list[tuple[int, ...]]] = {SEED: [], SEED_WIDE: []}
-        where: dict[int, list[tuple[int, int]]] = {SEED: [], SEED_WIDE: []}
-        for item, text in items:
+        numbers: dict[str, int] = {}
+        seeds: dict[int, list[tuple[int, ...]]] = {}
+        where: dict[int, list[tuple[int, int]]] = {}
+        needed, flat, sizes, starts = [], [], [], [0]
+        for n, (_, text) in enumerate(items):
             w = words.split(text)
-            ids = [self.vocabulary.setdefault(x, len(self.vocabulary) + 2) for x in w]
-            n = len(self.items)
-            self.items.append((item, ids, np.array([len(x) for x in w])))
-            wide = sum(len(x) == 1 for x in w) > len(w) // 2
-            k = min(SEED_WIDE if wide else SEED, len(ids))
-            if k not in seeds:
-                seeds[k], where[k] = [], []
+            ids = [numbers.setdefault(x, len(numbers)) for x in w]
+            size = [len(x) for x in w]
+            k = min(SEED, len(ids))
+            # a leak has at least the fewest words that make up its part, and of its places at most 1 - agree change
+            fewest = int(np.searchsorted(np.cumsum(sorted(size, reverse=True)), leak * sum(size))) + 1 if ids else 0
+            needed.append(max(1, math.ceil(fewest * (agree - (k - 1) * (1 - agree)) - (k - 1) - 1e-9)))
             for i in range(len(ids) - k + 1 if k else 0):
-                seeds[k].append(tuple(ids[i : i + k]))
-                where[k].append((n, i))
-        self.seeds_of = np.bincount([n for v in where.values() for n, _ in v], minlength=len(self.items))
-        self.seeds = {k: (np.array(v), np.array(where[k])) for k, v in seeds.items() if v}
+                seeds.setdefault(k, []).append(tuple(ids[i : i + k]))
+                where.setdefault(k, []).append((n, i))
+            flat += ids
+            sizes += size
+            starts.append(len(flat))
+        self.words, self.ids, self.needed = list(numbers), [x for x, _ in items], np.array(needed, np.int64)
+        self.flat, self.starts, self.letters = np.array(flat, np.int64), np.array(starts), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        self.longest = int(np.diff(self.starts).max(initial=0))
+        self.seeds = {k: (np.array(v), np.array(where[k])) for k, v in seeds.items()}
 
 
 #: Places to go on at after a change, as words to skip in the document and in the item, the least change first.
 _SKIPS = [x for k in range(1, 2 * SHIFT + 1) for x in ((k, k), *((k, j) for j in range(k - 1, max(-1, k - SHIFT - 1), -1)), *((j, k) for j in range(k - 1, max(-1, k - SHIFT - 1), -1)))]
 
 
-def stretch(doc: list[int], item: list[int], d: int, i: int) -> tuple[int, int, int, int, list[int]]:
-    """The stretch of agreement around doc[d] = item[i]: (doc from, to, item from, to, agreeing item positions).
+def stretch(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray, doc_ends: tuple[np.ndarray, np.ndarray], item_ends: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The stretches of agreement around doc[d] = item[i], all at once: (doc from, to, item from, to, places that agree, places that differ).
 
-    It is carried on over a changed, missing or added word while two of the next words agree.
+    d and i are arrays of places, the ends the first place and the place after the last of the document and the item of each. A
+    stretch is carried on over a changed, missing or added word while two of the next words agree.
     """
-    hit, ends, n, m = [i], [], len(doc), len(item)
+    same, changed = np.ones(len(d), np.int64), np.zeros(len(d), np.int64)
+    reached = []
     for step in (1, -1):
-        a, b, last = d, i, (d, i)
-        while True:
-            a, b = a + step, b + step
-            if not (0 <= a < n and 0 <= b < m):
-                break
-            if doc[a] == item[b]:
-                hit.append(b)
-                last = (a, b)
-                continue
-            best = None
+        x, y = d.copy(), i.copy()
+        going = np.arange(len(d))
+        inside = lambda at, ends, who: (at >= ends[0][who]) & (at < ends[1][who])
+        while len(going):
+            a, b = x[going] + step, y[going] + step
+            ok = inside(a, doc_ends, going) & inside(b, item_ends, going)
+            going, a, b = going[ok], a[ok], b[ok]
+            equal = doc[a] == item[b]
+            on = going[equal]
+            x[on], y[on] = a[equal], b[equal]
+            same[on] += 1
+            open_, a, b = going[~equal], a[~equal], b[~equal]
+            after = [on]
             for u, v in _SKIPS:
-                x, y = a + step * u, b + step * v
-                if 0 <= x < n and 0 <= y < m and doc[x] == item[y]:
-                    p, q = x + step, y + step
-                    if not 0 <= q < m or 0 <= p < n and doc[p] == item[q]:
-                        best = (x, y)
-                        break
-            if not best:
-                break
-            a, b = best[0] - step, best[1] - step
-        ends.append(last)
-    (d1, i1), (d0, i0) = ends
-    return d0, d1 + 1, i0, i1 + 1, hit
-
-
-def search(block: Block, docs: list[tuple[object, list[str]]], leak: float, agree: float) -> list[tuple[int, int, int, int, float]]:
-    """(doc number, item id, first word, end word, part of the item) of every leak in a shard."""
-    vocabulary = block.vocabulary
-    arrays = [[vocabulary.get(w, 1) for w in words] for _, words in docs]
-    begins = np.cumsum([0] + [len(a) + 1 for a in arrays])
-    # words of no item are one symbol; a one also parts the documents
-    text = np.fromiter((x for a in arrays for x in (*a, 1)), np.int64, int(begins[-1]))
-    found = []
-    if not (text > 1).any():
-        return found
-    index = FMIndex(text, len(vocabulary) + 2)
-    hits = []
-    for seeds, where in block.seeds.values():
-        which, at = index.locate(*index.search(seeds))
-        hits.append((where[which, 0], where[which, 1], at))
-    items, places, at = (np.concatenate(x) for x in zip(*hits))
-    doc = np.searchsorted(begins, at, "right") - 1
-    pair = doc * len(block.items) + items
-    _, inverse = np.unique(pair, return_inverse=True)
-    places_of = np.unique(np.stack((inverse, places)), axis=1)[0] if len(pair) else inverse
-    enough = np.bincount(places_of, minlength=1)[inverse] >= np.maximum(1, DENSE * block.seeds_of[items]) if len(pair) else np.zeros(0, bool)
-    doc, items, places, at = doc[enough], items[enough], places[enough], at[enough]
-    order = np.lexsort((at, items, doc))
-    done: tuple[int, int] | None = None
-    until = -1
-    best: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    for n in order:
-        pair, d = (int(doc[n]), int(items[n])), int(at[n] - begins[doc[n]])
-        if pair == done and d < until:
-            continue
-        item, ids, size = block.items[pair[1]]
-        d0, d1, i0, i1, hit = stretch(arrays[pair[0]], ids, d, int(places[n]))
-        done, until = pair, d1
-        span = size[i0:i1].sum()
-        if span >= leak * size.sum() and size[sorted(set(hit))].sum() >= agree * span:
-            best.setdefault(pair, []).append((d0, d1, span / size.sum()))
-        elif d1 - d > 12:
-            until = d + 1
-    return [(p, block.items[q][0], a, b, f) for (p, q), v in best.items() for a, b, f in v]
-
-
-def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, agree: float = AGREE, shard: int = SHARD) -> DataFrame:
+                if not len(open_):
+                    break
+                p, q = a + step * u, b + step * v
+                fits = inside(p, doc_ends, open_) & inside(q, item_ends, open_)
+                fits[fits] = doc[p[fits]] == item[q[fits]]
+                k = np.flatnonzero(fits)
+                if len(k):
+                    who, p, q = open_[k], p[k], q[k]
+                    ends = ~inside(q + step, item_ends, who)
+                    two = ~ends & inside(p + step, doc_ends, who)
+                    two[two] = doc[p[two] + step] == item[q[two] + step]
+                    good = ends | two
+                    who, k = who[good], k[good]
+                    x[who], y[who] = p[good], q[good]
+                    same[who] += 1
+                    changed[who] += max(u, v)
+                    after.append(who)
+                    rest = np.ones(len(open_), bool)
+                    rest[k] = False
+                    open_, a, b = open_[rest], a[rest], b[rest]
+            going = np.concatenate(after)
+        reached.append((x, y))
+    (d1, i1), (d0, i0) = reached
+    return d0, d1 + 1, i0, i1 + 1, same, changed
+
+
+class Shard:
+    """Documents as numbers of their own words, and the FM-index over them."""
+
+    def __init__(self, docs: list[list[str]]):
+        self.vocabulary: dict[str, int] = {}
+        number = self.vocabulary.setdefault
+        # a one parts the documents
+        flat = [x for words in docs for x in (*[number(w, len(self.vocabulary) + 2) for w in words], 1)]
+        self.text = np.array(flat, np.int64)
+        self.begins = np.cumsum([0] + [len(words) + 1 for words in docs])
+        self.index = FMIndex(self.text, len(self.vocabulary) + 2) if self.vocabulary else None
+
+    def search(self, block: Block, leak: float, agree: float) -> list[tuple[int, int, int, int, float]]:
+        """(doc number, item id, first word, end word, part of the item) of every leak of a block's items."""
+        if not self.index or not block.seeds:
+            return []
+        known = np.array([self.vocabulary.get(w, 0) for w in block.words], np.int64)
+        hits = []
+        for seeds, where in block.seeds.values():
+            here = known[seeds]
+            there = (here > 0).all(1)
+            which, at = self.index.locate(*self.index.search(here[there]))
+            hits.append((where[there][which, 0], where[there][which, 1], at))
+        items, places, at = (np.concatenate(x) for x in zip(*hits))
+        if not len(at):
+            return []
+        doc = np.searchsorted(self.begins, at, "right") - 1
+        pair = doc * len(block.ids) + items
+        _, inverse = np.unique(pair, return_inverse=True)
+        # different places of an item in a document, by sorting (pair, place) as one number
+        keys = np.unique(inverse * (int(places.max()) + 1) + places) // (int(places.max()) + 1)
+        enough = np.bincount(keys)[inverse] >= block.needed[items]
+        # words that the shard does not have are equal to none of its own
+        words = np.where(known[block.flat] > 0, known[block.flat], -1)
+        i = block.starts[items] + places
+        # of a run of agreeing words the first seed speaks for all
+        first = (places == 0) | (at == self.begins[doc]) | (self.text[np.maximum(at - 1, 0)] != words[np.maximum(i - 1, 0)])
+        chosen = enough & first
+        doc, items, at, i = doc[chosen], items[chosen], at[chosen], i[chosen]
+        d0, d1, i0, i1, same, changed = stretch(self.text, words, at, i, (self.begins[doc], self.begins[doc + 1] - 1), (block.starts[items], block.starts[items + 1]))
+        span, total = block.letters[i1] - block.letters[i0], block.letters[block.starts[items + 1]] - block.letters[block.starts[items]]
+        good = (span >= leak * total) & (same >= agree * (same + changed))
+        rows = zip(doc[good], items[good], (d0 - self.begins[doc])[good], (d1 - self.begins[doc])[good], (span / np.maximum(total, 1))[good])
+        return sorted({(int(p), block.ids[q], int(x), int(y), float(f)) for p, q, x, y, f in rows})
+
+
+def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, agree: float = AGREE, shard: int = SHARD, part: int = PART) -> DataFrame:
     """(doc_id, item_id, start, end, part): every stretch of an item of ``items`` (item_id, text) in ``docs`` (doc_id, text).
 
     start and end are character positions in the document's text, part the share of the item that the stretch spans.
     Null or wordless texts hold and give nothing away; repeated rows count once; other columns are ignored; an item
     shorter than a seed is looked for as a whole. Documents above a shard's words are read in pieces that overlap by
-    twice the longest item.
+    twice the longest item. ``shard`` and ``part`` change the cost, not the rows.
     """
-    found = None
-    for part in _parts(items):
-        one = _leaks_of(docs, items.schema["item_id"].dataType.simpleString(), part, leak, agree, shard)
-        found = one if found is None else found.union(one)
-    return found.distinct()
-
-
-def _parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items' passages in parts that a broadcast may hold; a larger set of items takes several passes over the documents."""
-    held, size = [], 0
-    for r in items.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= PART:
-            yield passages(held)
-            held, size = [], 0
-    yield passages(held)
-
-
-def _leaks_of(docs: DataFrame, item_type: str, known: list[tuple[int, str]], leak: float, agree: float, shard: int) -> DataFrame:
-    blocks = docs.sparkSession.sparkContext.broadcast([Block(known[i : i + BLOCK]) for i in range(0, len(known), BLOCK)])
-    overlap = 2 * max((len(x[1]) for b in blocks.value for x in b.items), default=0)
+    sc = docs.sparkSession.sparkContext
+    blocks, overlap = [], 0
+    for held in _blocks(passages(items), part):
+        block = Block(held, leak, agree)
+        overlap = max(overlap, 2 * block.longest)
+        blocks.append(sc.broadcast(block))
 
     def flush(held: list[tuple], words: Words) -> pd.DataFrame:
-        rows = []
-        for block in blocks.value:
-            for n, item, a, b, part in search(block, [(k, w) for k, w, _, _ in held], leak, agree):
+        rows, one = [], Shard([w for _, w, _, _ in held])
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for b in blocks:
+            for n, item, x, y, share in one.search(b.value, leak, agree):
                 k, _, text, begin = held[n]
-                spans = words.spans(text)
-                rows.append((k, item, spans[begin + a][0], spans[begin + b - 1][1], float(part)))
+                if n not in spans:
+                    spans[n] = words.spans(text)
+                rows.append((k, item, spans[n][begin + x][0], spans[n][begin + y - 1][1], float(share)))
+            if len(blocks) > 1:
+                # a task holds one block at a time; the next use reads it again from the executor's disk
+                b.__dict__.pop("_value", None)
         return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "part"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,8 +270,21 @@ def _leaks_of(docs: DataFrame, item_type: str, known: list[tuple[int, str]], lea
         if held:
             yield flush(held, words)
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, start int, end int, part double"
-    return docs.select("doc_id", "text").mapInPandas(run, kinds)
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, end int, part double"
+    return docs.select("doc_id", "text").mapInPandas(run, kinds).distinct()
+
+
+def _blocks(passages: DataFrame, part: int) -> Iterator[list[tuple[int, str]]]:
+    """The passages in blocks of about ``part`` letters, streamed through the driver."""
+    held, size = [], 0
+    for r in passages.orderBy("item_id", "text").toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= part:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

@@ -59,6 +59,23 @@ def test_p4_found_reads_the_plan(spark, data, monkeypatch):
     assert [r[0] for r in packing.p4_found(spark, data).collect()] == [1]
 
 
+def test_leaks_with_every_fourth_word_changed(spark):
+    """What AGREE allows is found, whatever the pattern of changes."""
+    rng = random.Random(12)
+    item = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    docs = {}
+    for k in range(4):
+        docs[k] = [f"x{n}" if n % 4 == k else w for n, w in enumerate(item)]
+    docs[4] = [x for n, w in enumerate(item) for x in ([f"y{n}", w] if n % 4 == 0 else [w])]
+    docs[5] = [w for n, w in enumerate(item) if n % 5]
+    docs[6] = [f"x{n}" if n % 2 else w for n, w in enumerate(item)]
+    docs[7] = item[:21] + ["end"]
+    docs[8] = item[:14] + ["end"]
+    d = spark.createDataFrame([(k, "so it said: " + " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    got = {r.doc_id for r in leakage.leaks(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0, 1, 2, 3, 4, 5, 7}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_fm_index_by_brute_force(seed):
     rng = np.random.default_rng(seed)
@@ -90,6 +107,9 @@ def test_leaks(spark):
     assert sorted({(r.doc_id, r.item_id) for r in got.collect()}) == [(k, 1) for k in (1, 2, 3, 8, 9, 10)]
     small = leakage.leaks(d, i, shard=150)
     assert {(r.doc_id, r.item_id) for r in small.collect()} == {(k, 1) for k in (1, 2, 3, 8, 9, 10)}
+    # one block for each item: the rows stay, instruction lines are told by all items
+    parts = leakage.leaks(d, i, part=1)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, got.collect()))
     spans = {r.doc_id: r for r in leakage.removal_spans(got).collect()}
     assert docs[1][spans[1].start : spans[1].end].startswith("The archivist found") and spans[1].item_ids == [1]
     assert leakage.leaks(d.where("1 = 0"), i).isEmpty() and leakage.leaks(d, i.where("1 = 0")).isEmpty()
