@@ -1,10 +1,11 @@
 """Variant spellings of persons and organisations, linked within a book.
 
-Metric-space partitioning: the words of all names are points under an edit metric. A book's pivots split them into
-cells; a word goes to its nearest pivot's cell and, by the triangle inequality, to every cell whose words may be within
-the radius; inside a cell the radius join is exact. Names that meet through a word are compared as names (titles,
-order, initials, nicknames, abbreviations, joined parts). Full names are grouped first; initials and acronyms then join
-the one group they fit, or none if they fit several.
+Metric-space partitioning: the words of all names are points under edit distance. A book's pivots split them into
+cells; a word goes to its nearest pivot's cell and, by the triangle inequality, as a guest to every cell before it whose words may
+be within the radius; inside a cell the radius join is exact. Two neighbours in each other's place are two edits, but the words then
+have the same letters, so these meet by their letters. Names that meet through the rarest word of one of them are compared as
+names (titles, order, initials, nicknames, abbreviations, joined parts): a person's name fits another only if each of its words
+does. Full names are grouped first; initials and acronyms then join the one group they fit, or none if they fit several.
 """
 
 from __future__ import annotations
@@ -12,19 +13,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import groupby, permutations
+from itertools import groupby, islice, permutations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.llm.lookalikes import shape
+from pagelake.operators.components import components
 from pagelake.session import cut
 from pagelake.sources.tables import table
 
-#: Parameters: words of a cell aimed at, radius in the pivots' metric (two for one edit or swap), and, for the head words
+#: Parameters: least words of a cell aimed at, radius in the pivots' metric, and, for the head words
 #: of technical terms, books and share of the script's books they must be in and the least share of technical labels.
-CELL, RADIUS, BOOKS, BOOK_SHARE, TECHNICAL = 300, 2, 2, 0.02, 0.75
+CELL, RADIUS, BOOKS, BOOK_SHARE, TECHNICAL = 32, 1, 2, 0.02, 0.75
 #: Titles before or after names.
 TITLES = set(
     "dr prof professor capt captain mr mrs ms miss sir lady lord rev esq hon col gen lt sgt maj mme mlle herr frau sr sra don dona sig dott doctor "
@@ -149,17 +152,24 @@ class Name:
             else:
                 self.words.append(f)
 
-    def keys(self) -> list[str]:
-        """What the name is met by: its words, both ways of joining two of them, acronyms."""
+    def keys(self) -> list[tuple[str, str, str]]:
+        """What the name is met by, as (key, role, word).
+
+        Role 'word': a word of a person, of which the rarest seeks others; 'nick': the given name that a word is short for,
+        seeking if the word is; 'seek': words of bodies and acronyms, all seek; 'met': both ways of joining two words.
+        """
         if self.kind == "acronym":
-            return ["@" + self.words[0]]
+            return [("@" + self.words[0], "seek", "")]
         if self.kind == "body":
             orders = permutations(self.parts) if len(self.parts) <= 3 else [self.parts]
-            return [w for w in dict.fromkeys(self.words) if w not in BODIES and len(w) > 2] + ["@" + "".join(w[0] for p in o for w in p) for o in orders]
-        out = [w for w in self.words if len(w) > 1]
+            shorts = dict.fromkeys("@" + "".join(w[0] for p in o for w in p) for o in orders)
+            return [(w, "seek", "") for w in dict.fromkeys(self.words) if w not in BODIES and len(w) > 2] + [(k, "seek", "") for k in shorts]
+        words = list(dict.fromkeys(w for w in self.words if len(w) > 1))
+        out = [(w, "word", w) for w in words] + [(f"#{g}", "nick", w) for w in words for g in sorted(NICK.get(w, ()))]
         if len(self.words) == 2 and not self.initials:
-            out += ["".join(self.words), "".join(reversed(self.words))]
-        return list(dict.fromkeys(out))
+            joined = dict.fromkeys(("".join(self.words), "".join(reversed(self.words))))
+            out += [(k, "met", "") for k in joined if k not in words]
+        return out
 
     @property
     def full(self) -> bool:
@@ -183,7 +193,8 @@ def _given(a: str, b: str) -> bool:
 def same(a: Name, b: Name) -> bool:
     """Whether two forms can name the same person or body."""
     if "acronym" in (a.kind, b.kind):
-        return any(k[0] == "@" and k in b.keys() for k in a.keys())
+        theirs = {k for k, _, _ in b.keys()}
+        return any(k[0] == "@" and k in theirs for k, _, _ in a.keys())
     if a.kind != b.kind:
         return False
     if a.kind == "body":
@@ -222,15 +233,28 @@ def same(a: Name, b: Name) -> bool:
         return False
     if a.initials and b.initials and a.initials != b.initials:
         return False
-    for order in permutations(b.words, len(a.words)):
-        costs = [0 if _given(x, y) else _word_cost(x, y) for x, y in zip(a.words, order)]
-        if None in costs or sum(costs) > 2:
-            continue
-        if sum(costs) == 2 and min(len(x) for x, c in zip(a.words, costs) if c) < 5:
+    # words that both have go together; of the others at most three can fit (two edits, one nickname)
+    mine, theirs = list(a.words), list(b.words)
+    for w in a.words:
+        if w in theirs:
+            mine.remove(w)
+            theirs.remove(w)
+    return len(mine) <= 3 and _fits(mine, theirs, [])
+
+
+def _fits(mine: list[str], theirs: list[str], pairs: list[tuple[str, str, int]]) -> bool:
+    """Whether each of ``mine`` goes with another one of ``theirs`` at two edits and one nickname at most."""
+    if not mine:
+        edited = [x for x, _, c in pairs if c]
+        return len(edited) < 2 or min(map(len, edited)) >= 5
+    x = mine[0]
+    for k, y in enumerate(theirs):
+        cost = 0 if _given(x, y) else _word_cost(x, y)
+        if cost is None:
             continue
-        if sum(x != y and c == 0 for x, y, c in zip(a.words, order, costs)) > 1:
-            continue
-        return True
+        now = [*pairs, (x, y, cost)]
+        if sum(c for _, _, c in now) <= 2 and sum(not c for _, _, c in now) <= 1 and _fits(mine[1:], theirs[:k] + theirs[k + 1 :], now):
+            return True
     return False
 
 
@@ -272,35 +296,47 @@ def _by(batches: Iterator[pd.DataFrame], *by: str) -> Iterator[tuple[tuple, list
         yield k, list(g)
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(k, f, w) for k, f in zip(b["book"], b["form"]) for w in Name(f).keys()], columns=["book", "form", "word"])
+        names = [Name(f) for f in b["form"]]
+        keys = [[{"word": k, "role": r, "of": w} for k, r, w in n.keys()] for n in names]
+        yield pd.DataFrame({"book": b["book"], "form": b["form"], "full": [n.full for n in names], "keys": keys})
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A word to the cell of its nearest pivot, and as a guest to all that the triangle inequality leaves open."""
+    """A word to the cell of its nearest pivot, as a guest to all before it that the triangle inequality leaves open, and to the cell of its letters."""
     for b in batches:
         rows = []
         for k, w, pivots in zip(b["book"], b["word"], b["pivots"]):
             d = [levenshtein(w, p) for p in pivots]
             home = d.index(min(d))
-            rows += [(k, i, w, i == home, x) for i, x in enumerate(d) if x <= d[home] + 2 * RADIUS]
+            rows.append((k, str(home), w, True, d[home]))
+            rows += [(k, str(i), w, False, x) for i, x in enumerate(d[:home]) if x <= d[home] + 2 * RADIUS]
+            if len(w) > 2:
+                rows.append((k, "~" + "".join(sorted(w)), w, True, 0))
         yield pd.DataFrame(rows, columns=["book", "cell", "word", "home", "d"])
 
 
 def _join_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The exact radius join of each cell: its own words against all that are in it."""
+    """The exact radius join of each cell: its own words with each other and with its guests."""
     out = []
-    for (book, _), rows in _by(batches, "book", "cell"):
+    for (book, cell), rows in _by(batches, "book", "cell"):
         rows.sort(key=lambda r: r.d)
+        letters, low = cell[0] == "~", 0
         for x in rows:
-            if x.home:
-                for y in rows:
-                    if y.d > x.d + RADIUS:
-                        break
-                    if y.d >= x.d - RADIUS and x.word <= y.word if y.home else y.d >= x.d - RADIUS:
-                        if x.word == y.word or min(len(x.word), len(y.word)) >= 3 and "@" not in (x.word[0], y.word[0]) and near(x.word, y.word):
-                            out.append((book, min(x.word, y.word), max(x.word, y.word)))
+            if not x.home:
+                continue
+            if not letters:
+                out.append((book, x.word, x.word))
+                if len(x.word) < 3 or x.word[0] in "@#":
+                    continue
+            while rows[low].d < x.d - RADIUS:
+                low += 1
+            for y in islice(rows, low, None):
+                if y.d > x.d + RADIUS:
+                    break
+                if (x.word < y.word or not y.home) and x.word != y.word and len(y.word) > 2 and y.word[0] not in "@#" and near(x.word, y.word):
+                    out.append((book, min(x.word, y.word), max(x.word, y.word)))
         if len(out) > 50_000:
             yield pd.DataFrame(out, columns=["book", "a", "b"])
             out = []
@@ -319,40 +355,55 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         rows = []
-        for k, f, g in zip(b["book"], b["form_a"], b["form_b"]):
+        for i, f, j, g in zip(b["id_a"], b["form_a"], b["id_b"], b["form_b"]):
             x, y = name(f), name(g)
             if same(x, y):
-                rows.append((k, f, g, x.full, y.full))
-        yield pd.DataFrame(rows, columns=["book", "form_a", "form_b", "full_a", "full_b"])
-
-
-def _node(form: str) -> Column:
-    """A form of a book as 128 bits of hash: groups are found on these, not on texts."""
-    return F.struct(F.xxhash64("book", form).alias("h"), F.xxhash64(F.lit(7), form, "book").alias("g"))
-
+                rows.append((i, j, x.full, y.full))
+        yield pd.DataFrame(rows, columns=["a", "b", "full_a", "full_b"])
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root): each node's least connected node, by rounds of least neighbours and pointer jumps; links are (a, b)."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        around = both.join(label.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        new = label.join(around, "node").select("node", "root", F.least("root", "r").alias("next"))
-        jump = label.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = cut(new.join(jump, "next").select("node", "root", F.least("next", "far").alias("next")))
-        label = new.select("node", F.col("next").alias("root"))
-        if new.where("next <> root").isEmpty():
-            break
-    alone = nodes.select("node").distinct().join(label.select("node"), "node", "left_anti")
-    return label.union(alone.select("node", F.col("node").alias("root")))
 
+def meeting(keys: DataFrame, cell: int = CELL) -> DataFrame:
+    """(book, a, b): pairs of words of a book that are equal, one edit or one swap of neighbours apart, a <= b, of (book, word).
 
-def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
+    Each book has about as many pivots as the root of its words, so that finding cells and joining in them cost alike, and no more than
+    leave ``cell`` words to each.
+    """
+    points = keys.select("book", "word").distinct()
+    counts = points.groupBy("book").agg(F.count("*").alias("n"), F.min("word").alias("one"))
+    chosen = F.pmod(F.xxhash64("word", F.lit(5)), F.col("n")) < F.least(F.sqrt("n"), F.col("n") / cell)
+    pivots = points.join(counts, "book").where(chosen | (F.col("word") == F.col("one"))).groupBy("book").agg(F.array_sort(F.collect_set("word")).alias("pivots"))
+    cells = points.join(pivots, "book").mapInPandas(_cells, "book string, cell string, word string, home boolean, d int")
+    return cells.repartition("book", "cell").sortWithinPartitions("book", "cell").mapInPandas(_join_cell, "book string, a string, b string").distinct()
+
+
+def candidate_pairs(names: DataFrame, cell: int = CELL) -> DataFrame:
+    """(id_a, form_a, id_b, form_b): names of a book that meet through a key that one of them seeks by, of (book, id, form, keys)."""
+    keys = cut(names.select("book", "id", "form", F.explode("keys").alias("k")).select("book", "id", "form", "k.word", "k.role", "k.of"))
+    # a person seeks by its rarest word in the book, so a common given name alone brings no one together
+    often = keys.groupBy("book", "word").agg(F.count("*").alias("n"))
+    rare = keys.where("role = 'word'").join(often, ["book", "word"]).groupBy("id").agg(F.min(F.struct("n", "word")).alias("m")).select("id", F.col("m.word").alias("of"))
+    asked = keys.join(rare.withColumn("rarest", F.lit(True)), ["id", "of"], "left").where("role = 'seek' or rarest").select("book", "id", "form", "word")
+    met = meeting(keys, cell)
+    met = met.union(met.where("a <> b").select("book", "b", "a"))
+    seek = asked.select("book", F.col("word").alias("a"), F.col("id").alias("id_a"), F.col("form").alias("form_a"))
+    found = keys.select("book", F.col("word").alias("b"), F.col("id").alias("id_b"), F.col("form").alias("form_b"))
+    p = met.join(seek, ["book", "a"]).join(found, ["book", "b"]).where("id_a <> id_b")
+    first = F.col("id_a") < F.col("id_b")
+    ends = [F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("id", "form")]
+    return p.select(*ends).groupBy("id_a", "id_b").agg(F.first("form_a").alias("form_a"), F.first("form_b").alias("form_b")).select("id_a", "form_a", "id_b", "form_b")
+
+
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of each node, linked or not."""
+    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def name_sets(forms: DataFrame, labelled: DataFrame, cell: int = CELL) -> DataFrame:
     """(book, id, form, root): the set of each form of each candidate that names a person or body, by the key root.
 
     forms: (book, id, form), labelled: (book, form, category). Null and blank forms are dropped, as are technical terms:
     by their own labels, or by a head word that the corpus labels technical. A null book is a book of its own. Ids may
-    be of any type; repeated rows count once. All forms of a candidate belong together.
+    be of any type; repeated rows count once. All forms of a candidate belong together. ``cell`` changes the cost, not the rows.
     """
     known = labelled.select(F.coalesce("book", F.lit("")).alias("book"), "form", "category")
     f = cut(forms.where("form is not null and trim(form) <> '' and id is not null").select(F.coalesce("book", F.lit("")).alias("book"), "id", "form").distinct())
@@ -364,49 +415,30 @@ def name_sets(forms: DataFrame, labelled: DataFrame) -> DataFrame:
     own = known.groupBy("book", "form").agg(F.sum(F.when(F.col("category") == "technical_term", 1).when(F.col("category") == "proper_name", -1).otherwise(0)).alias("n"))
     f = f.join(marked, ["book", "form"], "left").join(own, ["book", "form"], "left")
     technical = F.coalesce(F.col("head"), F.lit(False)) | (F.coalesce("n", F.lit(0)) > 0)
-    f = f.withColumn("technical", technical)
-    bad = f.where("technical").select("book", "id").distinct()
-    f = cut(f.select("book", "id", "form").join(bad, ["book", "id"], "left_anti"))
-    words = cut(f.select("book", "form").distinct().mapInPandas(_emit, "book string, form string, word string"))
-    points = words.select("book", "word").distinct()
-    counts = points.groupBy("book").agg(F.count("*").alias("n"))
-    chosen = points.join(counts, "book").where(F.pmod(F.xxhash64("word", F.lit(5)), F.col("n")) < F.sqrt("n"))
-    # about as many pivots as the root of a book's words, so that finding cells and joining in them cost alike; a small book has one
-    pivots = chosen.where(F.col("n") > CELL).groupBy("book").agg(F.array_sort(F.collect_set("word")).alias("pivots"))
-    single = points.groupBy("book").agg(F.array(F.min("word")).alias("one"))
-    pivots = single.join(pivots, "book", "left").select("book", F.coalesce("pivots", "one").alias("pivots"))
-    cells = points.join(pivots, "book").mapInPandas(_cells, "book string, cell int, word string, home boolean, d int")
-    met = cells.repartition("book", "cell").sortWithinPartitions("book", "cell").mapInPandas(_join_cell, "book string, a string, b string").distinct()
-    a, b = (words.select("book", F.col("word").alias(x), F.col("form").alias(f"form_{x}")) for x in "ab")
-    pairs = met.join(a, ["book", "a"]).join(b, ["book", "b"]).where("form_a <> form_b").select("book", F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b")).distinct()
-    links = pairs.mapInPandas(_compare, "book string, form_a string, form_b string, full_a boolean, full_b boolean")
-    links = cut(links.select(_node("form_a").alias("a"), _node("form_b").alias("b"), "full_a", "full_b"))
-    f = cut(f.withColumn("node", _node("form")))
-    mine = f.withColumn("first", F.min("node").over(_window())).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    s = cut(components(f.select("node"), links.where("full_a and full_b").select("a", "b").union(mine)))
+    # a candidate with one technical form is technical
+    per = W.partitionBy("book", "id")
+    f = f.withColumn("bad", F.max(technical).over(per)).where("not bad").select("book", "id", "form")
+    parsed = f.select("book", "form").distinct().mapInPandas(_parse, "book string, form string, full boolean, keys array<struct<word: string, role: string, of: string>>")
+    # written out, so the numbers of the forms stay
+    t = cut(parsed.withColumn("node", F.monotonically_increasing_id()))
+    f = cut(f.join(t.select("book", "form", "node"), ["book", "form"]))
+    pairs = candidate_pairs(t.select("book", F.col("node").alias("id"), "form", "keys"), cell)
+    links = cut(pairs.mapInPandas(_compare, "a long, b long, full_a boolean, full_b boolean"))
+    mine = f.select(F.col("node").alias("a"), F.min("node").over(per).alias("b"))
+    s = cut(_roots(t.select("node"), links.where("full_a and full_b").select("a", "b").union(mine)))
     weak = links.where("not (full_a and full_b)").select("a", "b")
     weak = weak.union(weak.select("b", "a")).toDF("x", "y")
     ends = weak.join(s.toDF("y", "ry"), "y").join(s.toDF("x", "rx"), "x").where("rx <> ry").select("rx", "ry").distinct()
     # groups of full names are settled; a group of short forms alone joins the one settled group it fits
-    whole = words.select("book", "form").distinct().mapInPandas(_settled, "book string, form string").select(_node("form").alias("node"))
-    settled = whole.join(s, "node").select(F.col("root").alias("ry")).distinct().withColumn("settled", F.lit(True))
+    settled = t.where("full").select("node").join(s, "node").select(F.col("root").alias("ry")).distinct().withColumn("settled", F.lit(True))
     ends = cut(ends.join(settled, "ry", "left").join(settled.select(F.col("ry").alias("rx")), "rx", "left_anti"))
     fits = ends.where("settled").groupBy("rx").agg(F.count("*").alias("n"), F.min("ry").alias("ry"))
     joins = fits.where("n = 1").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
     loose = ends.where("settled is null").join(fits.select("rx"), "rx", "left_anti").join(fits.select(F.col("rx").alias("ry")), "ry", "left_anti")
-    final = components(s.select(F.col("root").alias("node")), joins.union(loose.select(F.col("rx").alias("a"), F.col("ry").alias("b"))))
-    return f.join(s, "node").select("book", "id", "form", F.col("root").alias("node")).join(final, "node").select("book", "id", "form", "root")
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("book", "id")
-
-
-def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame([(k, f) for k, f in zip(b["book"], b["form"]) if Name(f).full], columns=["book", "form"])
+    final = components(joins.union(loose.select(F.col("rx").alias("a"), F.col("ry").alias("b"))))
+    # the root of a form is the root of its group
+    whole = s.join(final.toDF("root", "last"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return f.join(whole, "node").select("book", "id", "form", "root")
 
 
 def _sets(spark: SparkSession, root: str) -> DataFrame:

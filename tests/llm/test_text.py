@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,14 +152,31 @@ def test_ambiguous_initials_join_no_one(spark):
 def test_radius_join_misses_nothing(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(4, 7))) for _ in range(150)]
-    pivots = words[:7]
-    import pandas as pd
-
-    b = pd.DataFrame({"book": "b", "word": sorted(set(words))})
-    b["pivots"] = [pivots] * len(b)
-    cells = next(names._cells(iter([b]))).sort_values(["book", "cell"])
-    got = {(r.a, r.b) for x in names._join_cell(iter([cells])) for r in x.itertuples() if r.a != r.b}
-    assert got == {(x, y) for x in set(words) for y in set(words) if x < y and names.near(x, y)}
+    df = spark.createDataFrame([("b", w) for w in words], "book string, word string")
+    want = {(x, y) for x in set(words) for y in set(words) if x <= y and names.near(x, y)}
+    for cell in (3, 20, 1_000):
+        got = [(r.a, r.b) for r in names.meeting(df, cell).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_pairs_need_the_rarest_word_only(spark):
+    """Names that share only a common given name do not meet; all that fit do."""
+    rng = random.Random(7)
+    given = ["john", "james", "william", "bill", "anna", "annie"]
+    last = ["".join(rng.choice("aeioklmnrst") for _ in range(6)) for _ in range(40)]
+    forms = sorted({f"{rng.choice(given)} {rng.choice(last)}".title() for _ in range(150)} | {f"{w}, Bill".title() for w in last[:9]} | {f"W. {w}".title() for w in last[:9]} | {"John", f"Anna{last[0].title()}"})
+    t = next(names._parse(iter([pd.DataFrame({"book": "b", "form": forms})]))).assign(id=range(len(forms)))
+    df = spark.createDataFrame([tuple(r) for r in t[["book", "id", "form", "keys"]].itertuples(index=False)], "book string, id long, form string, keys array<struct<word: string, role: string, of: string>>")
+    got = {(r.form_a, r.form_b) for r in names.candidate_pairs(df).collect()}
+    parsed = {f: names.Name(f) for f in forms}
+    want = {(x, y) for i, x in enumerate(forms) for y in forms[i + 1 :] if names.same(parsed[x], parsed[y])}
+    assert want <= got and len(got) < 0.2 * len(forms) ** 2 / 2
+
+
+def test_long_names_do_not_stall():
+    long = " ".join(f"Word{chr(97 + i)}ing" for i in range(14))
+    assert names.same(names.Name(long), names.Name(" ".join(reversed(long.split()))))
+    assert not names.same(names.Name(long), names.Name(long.replace("ing", "est")))
 
 
 @pytest.fixture(scope="module")
