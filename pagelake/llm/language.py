@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pagelake.sources.tables import table
 
 #: Parameters: paragraphs a language of the sample, bits of a codeword, buckets of n-grams, the longest n-gram, ridge, the
-#: sharpness of the confidence, and the confidence below which a text is ambiguous.
-SAMPLE, BITS, BUCKETS, LONGEST, RIDGE, SHARP, CLEAR = 200, 24, 8_192, 4, 0.05, 3.0, 0.8
+#: sharpness of the confidence, the confidence below which a text is ambiguous, and paragraphs that make a language.
+SAMPLE, BITS, BUCKETS, LONGEST, RIDGE, SHARP, CLEAR, LEAST = 200, 24, 8_192, 4, 0.05, 3.0, 0.8, 10
 LEAST_LETTERS, LEAST_WORDS, LEAST_WIDE = 14, 3, 6
 NO_TEXT = ("illustration", "table", "page_number")
 #: Names and three-letter codes of languages by their two-letter code.
@@ -40,10 +40,11 @@ _ROMAN = re.compile(r"[ivxlcdm]+")
 
 
 def label_code(label: Column) -> Column:
-    """The two-letter code that a label names, or null: region variants, names and three-letter codes are known."""
+    """The two-letter code that a label names, or null: region variants, names and three-letter codes of the languages in NAMES, and any code of two letters."""
     plain = F.lower(F.trim(label))
     known = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
-    return F.coalesce(known[plain], known[F.regexp_extract(plain, r"^([^-_ (]+)", 1)])
+    first = F.regexp_extract(plain, r"^([^-_ (]+)", 1)
+    return F.coalesce(known[plain], known[first], F.when(first.rlike("^[a-z]{2}$"), first))
 
 
 def words(text: str) -> list[str]:
@@ -140,7 +141,7 @@ class Model:
         return self.languages[k], float(p[k] / p.sum())
 
 
-def _texts(spark: SparkSession, root: str) -> DataFrame:
+def texts_of(spark: SparkSession, root: str) -> DataFrame:
     """(record_table, record_id, book, label, texts, types) of both tables, a row a page."""
     p = table(spark, root, "page_extractions", "extraction_id", "book_id", "source_lang", "blocks")
     c = table(spark, root, "corpus_pages", "page_key", "source_lang", "source")
@@ -149,12 +150,14 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
     return a.union(b)
 
 
-def fit(spark: SparkSession, root: str, sample: int = SAMPLE) -> Model:
+def fit(pages: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     """The model from at most ``sample`` paragraphs a language; labels of a book are outvoted by its other pages'.
 
-    The sample is by seeded hash: enough pages for it, then the first paragraphs of them.
+    pages: as from :func:`texts_of`. The languages are those of the labels that have ``least`` paragraphs in the sample and
+    tell half of them at least. The sample is by
+    seeded hash: enough pages for it, then the first paragraphs of them.
     """
-    pages = _texts(spark, root).withColumn("code", label_code(F.col("source_lang"))).withColumn("h", F.pmod(F.xxhash64("record_table", "record_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0)
+    pages = pages.withColumn("code", label_code(F.col("source_lang"))).withColumn("h", F.pmod(F.xxhash64("record_table", "record_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0)
     books = pages.where("book is not null and code is not null").groupBy("book", "code").count()
     books = books.groupBy("book").agg(F.max(F.struct("count", "code")).alias("m")).select("book", F.col("m.code").alias("language"))
     labelled = pages.join(books, "book", "left").withColumn("language", F.coalesce("language", "code")).where("language is not null")
@@ -164,15 +167,22 @@ def fit(spark: SparkSession, root: str, sample: int = SAMPLE) -> Model:
     t = t.where(F.length("text") >= 60).where(~F.coalesce(F.get("types", F.col("i")).isin(*NO_TEXT), F.lit(False)))
     t = t.select("language", "text", F.row_number().over(W.partitionBy("language").orderBy("h", "i")).alias("n")).where(F.col("n") <= sample)
     rows = sorted((r[0], r[1]) for r in t.select("language", "text").collect())
-    return Model([r[1] for r in rows], [r[0] for r in rows])
+    enough = Counter(r[0] for r in rows)
+    rows = [r for r in rows if enough[r[0]] >= least]
+    model = Model([r[1] for r in rows], [r[0] for r in rows])
+    # a label whose own texts are told to be of other languages is no language
+    own = Counter(k for k, t in rows if model.decode(t)[0] == k)
+    kept = [r for r in rows if 2 * own[r[0]] >= enough[r[0]]]
+    return model if len(kept) == len(rows) else Model([r[1] for r in kept], [r[0] for r in kept])
 
 
 def languages(pages: DataFrame, model: Model, clear: float = CLEAR) -> DataFrame:
-    """(record_table, record_id, item, lang, confidence, label): a row for each page with text (item -1) and each paragraph that has a language.
+    """(record_table, record_id, item, lang, confidence, ambiguous, label): a row for each page with text (item -1) and each paragraph that has a language.
 
     pages: (record_table, record_id, source_lang, texts, types); types may be null. Illustrations, tables and page
     numbers are left out, as are paragraphs too short to tell. The page's language is that of most of its paragraphs (of a
-    tie the one with more letters); only clear paragraphs are told to deviate, others take the page's language.
+    tie the one with more letters); only clear paragraphs are told to deviate, others are ambiguous and take the page's language. A page is ambiguous
+    if no language has more than half of its votes or its confidence is not clear.
     Null, empty and blank texts have none; a page without text has no row. Repeated pages count once.
     """
     said = pages.sparkSession.sparkContext.broadcast(model)
@@ -195,21 +205,22 @@ def languages(pages: DataFrame, model: Model, clear: float = CLEAR) -> DataFrame
                 for _, lang, sure, n in told:
                     votes[lang] += (1 if sure >= clear else 0.5) + min(n, 100_000) * 1e-7
                 page = max(votes.items(), key=lambda v: (v[1], v[0]))[0]
-                rows.append((name, key, -1, page, float(np.mean([s if k == page else 1 - s for _, k, s, _ in told])), label))
-                rows += [(name, key, i, lang if sure >= clear else page, sure, label) for i, lang, sure, _ in told]
-            yield pd.DataFrame(rows, columns=["record_table", "record_id", "item", "lang", "confidence", "label"])
+                sure_of = float(np.mean([s if k == page else 1 - s for _, k, s, _ in told]))
+                rows.append((name, key, -1, page, sure_of, 2 * votes[page] <= votes.total() or sure_of < 0.5, label))
+                rows += [(name, key, i, lang if sure >= clear else page, sure, sure < clear, label) for i, lang, sure, _ in told]
+            yield pd.DataFrame(rows, columns=["record_table", "record_id", "item", "lang", "confidence", "ambiguous", "label"])
 
     p = pages.where("record_id is not null").select("record_table", "record_id", label_code(F.col("source_lang")).alias("label"), "texts", "types")
-    return p.mapInPandas(run, "record_table string, record_id long, item int, lang string, confidence double, label string")
+    return p.mapInPandas(run, "record_table string, record_id long, item int, lang string, confidence double, ambiguous boolean, label string")
 
 
 def p6_languages(spark: SparkSession, root: str) -> DataFrame:
-    found = languages(_texts(spark, root), fit(spark, root))
-    return found.select("record_table", "record_id", "item", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+    found = languages(texts_of(spark, root), fit(texts_of(spark, root)))
+    return found.select("record_table", "record_id", "item", "lang", F.round("confidence", 4).alias("confidence"), "ambiguous").distinct()
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    found = languages(_texts(spark, root), fit(spark, root))
+    found = languages(texts_of(spark, root), fit(texts_of(spark, root)))
     page = F.max(F.when(F.col("item") == -1, F.struct("lang", "label"))).over(W.partitionBy("record_table", "record_id"))
     found = found.select("record_table", "record_id", "item", "lang", "label").distinct().withColumn("page", page)
     wrong = (F.col("item") == -1) & ~F.col("label").eqNullSafe(F.col("lang"))

@@ -181,7 +181,13 @@ def test_long_names_do_not_stall():
 
 @pytest.fixture(scope="module")
 def model(spark, data):
-    return language.fit(spark, data.replace("sf0.001", "sf0.01"))
+    return language.fit(language.texts_of(spark, data.replace("sf0.001", "sf0.01")))
+
+
+@pytest.fixture(scope="module")
+def ends(spark, data):
+    t = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/translated_blocks.parquet").select(F.col("translated_text").alias("response"))
+    return pairs.fit_ends(t)
 
 
 def test_language_held_out(spark, data, model):
@@ -206,30 +212,78 @@ def test_pages_and_segments(spark, model):
     assert language.languages(df, empty).isEmpty()
 
 
+def test_languages_are_those_of_the_labels(spark):
+    """A language that no table names is learnt from its two-letter code, once it has enough paragraphs."""
+    nl = "De oude archivaris van het zoutbedrijf vond de zeekaart in de molen en de weduwe kocht het houten model na de vergadering."
+    en = "The old archivist of the salt company found the sea chart in the mill and the widow bought the wooden model after the meeting."
+    rows = [("t", i, f"b{i % 3}", lab, [t, t + " " + t], None) for i in range(24) for lab, t in [("nl-BE", nl) if i % 3 else ("en", en)]] + [("t", 99, "z", "qq", [en], None)]
+    df = spark.createDataFrame(rows, "record_table string, record_id long, book string, source_lang string, texts array<string>, types array<string>")
+    m = language.fit(df)
+    assert m.languages == ["en", "nl"]
+    got = {(r.record_id, r.item): r for r in language.languages(df, m).collect()}
+    assert got[1, -1].lang == got[1, -1].label == "nl" and got[99, -1].lang == "en" and got[99, -1].label == "qq"
+
+
+def test_ambiguous_texts_are_flagged(spark, model):
+    en, de = "The museum of the royal garden kept the sea chart.", "Der Archivar der Salzgesellschaft fand die Seekarte."
+    df = spark.createDataFrame([("t", 1, None, [en, de], None), ("t", 2, None, [en, en, "The museum der Salzgesellschaft kept die Seekarte of the royal Garten."], None)], "record_table string, record_id long, source_lang string, texts array<string>, types array<string>")
+    got = {(r.record_id, r.item): r.ambiguous for r in language.languages(df, model).collect()}
+    assert got[1, -1] and not got[2, -1] and not got[1, 0]
+    unsure = language.languages(df, model, clear=1.1).where("item >= 0")
+    assert unsure.count() == unsure.where("ambiguous").count() == 5
+
+
 def test_codewords_are_apart():
     c = language.codewords(12)
     assert min((c[i] != c[j]).sum() for i in range(12) for j in range(i)) >= 7
 
 
-def test_pair_defects(spark, model):
+def test_pair_defects(spark, model, ends):
     src = "Der Archivar der Salzgesellschaft fand die Seekarte vom Flusshafen. Die Witwe kaufte das Holzmodell nach der Sitzung. Der Drucker öffnete das Verzeichnis ohne jede Hilfe."
     right = "The archivist of the salt company found the sea chart from the river port. The widow bought the wooden model after the meeting. The printer opened the inventory without any help."
     other = "El archivero de la compañía de la sal encontró la carta marina del puerto fluvial. La viuda compró el modelo de madera después de la reunión."
     cases = [right] * 6 + [None, "", " ​", "[]", "I'm sorry, but I can't translate this passage.", "Note: Lo siento, pero no puedo traducir este texto.", src, "> " + src.replace("fand", "sah"), other, "The archivist of the salt company found", right[:75], right[:100] + "…"]
     want = [None] * 6 + ["empty"] * 4 + ["refusal"] * 2 + ["copy"] * 2 + ["wrong_language"] + ["truncated"] * 3
     df = spark.createDataFrame([("t", i, 0, src, r, "en", "x") for i, r in enumerate(cases)], "record_table string, record_id long, item int, source string, response string, due string, defect string")
-    got = {r.record_id: r.defect for r in pairs.defects(df.union(df), model).collect()}
+    got = {r.record_id: r.defect for r in pairs.defects(df.union(df), model, ends).collect()}
     assert [got.get(i) for i in range(len(cases))] == want
-    assert pairs.defects(df.where("1 = 0"), model).isEmpty()
+    assert pairs.defects(df.where("1 = 0"), model, ends).isEmpty()
     assert unicodedata.normalize("NFC", src) == src
 
 
-def test_short_copies_and_long_refusals(spark, model):
+def test_short_copies_and_long_refusals(spark, model, ends):
     page = "Der Archivar der Salzgesellschaft fand die Seekarte vom Flusshafen."
     right = "The archivist of the salt company found the sea chart from the river port."
     no = "I am sorry, but I cannot translate this passage for you because it does not follow the rules that were given to me, and so I would ask you to send another passage that I may read and work on, or to turn to a person who knows the language well and can help you further"
     cases = [(page, right)] * 6 + [("Alte Karten", "Alte Karten"), ("Alte Karten", "Old maps"), ("12", "12"), (page, no + ".")]
     df = spark.createDataFrame([("t", i, 0, s, r, "en", page) for i, (s, r) in enumerate(cases)], "record_table string, record_id long, item int, source string, response string, due string, context string")
-    assert {r.record_id: r.defect for r in pairs.defects(df, model).collect()} == {6: "copy", 9: "refusal"}
+    assert {r.record_id: r.defect for r in pairs.defects(df, model, ends).collect()} == {6: "copy", 9: "refusal"}
     english = df.where("record_id = 6").withColumn("context", F.lit(right))
-    assert pairs.defects(english, model).isEmpty()
+    assert pairs.defects(english, model, ends).isEmpty()
+
+
+def test_good_translations_are_no_refusals(spark, model, ends):
+    clean = [("Ich kann heute nicht kommen.", "I cannot come today."), ("Er wird nicht gehen.", "He will not go."), ("Es ist nicht möglich, zu gehen.", "It is not possible to go."), ("«Como máquina, no puedo ayudar», bromeó el impresor.", '"As a machine, I cannot help," joked the printer.')]
+    bad = [("Der Archivar fand die Seekarte.", "I cannot translate this text."), ("Der Archivar fand die Seekarte.", "Unable to comply with this request.")]
+    bad.append((clean[3][0] + " Der Archivar der Salzgesellschaft fand die Seekarte vom Flusshafen, und die Witwe kaufte das Holzmodell nach der Sitzung.", "I cannot translate this text."))
+    assert not any(pairs.refuses(s, r) for s, r in clean) and all(pairs.refuses(s, r) for s, r in bad)
+
+
+def test_copies_come_first(spark, model, ends):
+    """A copy is one even if the model cannot tell its language."""
+    undecided = language.Model(["the old mill"] * 3 + ["die alte Mühle"] * 3, ["en"] * 3 + ["de"] * 3)
+    undecided.decode = lambda t: ("de", 1.0) if t and t.startswith("Der Archivar") and len(t) > 100 else (None, 0.0)
+    src = "Der Archivar der Salzgesellschaft fand die Seekarte vom Flusshafen."
+    assert pairs.measure(undecided, ends, src, src, "en", src * 2)[0] == "copy"
+    assert pairs.measure(undecided, ends, src, src, "de", src * 2)[0] is None
+
+
+def test_ends_of_held_out_texts(spark, data):
+    texts = [r[0] for r in spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/corpus_pages.parquet").select(F.explode("target")).distinct().collect() if r[0] and len(r[0]) > 60 and r[0].rstrip()[-1] in ".!?"]
+    half = len(texts) // 2
+    e = pairs.Ends(texts[:half])
+    rng = random.Random(3)
+    told = [e.score(t) < 0 for t in texts[half:]] + [e.score(" ".join(w[: rng.randrange(4, len(w) - 2)])) > 0 for t in texts[half:] if len(w := t.split()) > 8]
+    assert sum(told) > 0.9 * len(told)
+    zero = pairs.Ends([])
+    assert zero.score("It ends here.") == 0.0
