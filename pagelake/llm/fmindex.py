@@ -54,7 +54,7 @@ class Wavelet:
 class FMIndex:
     """Index of an array of symbols 1..top; a zero is put at its end."""
 
-    def __init__(self, s: np.ndarray, top: int, every: int = 16):
+    def __init__(self, s: np.ndarray, top: int, every: int = 4):
         s = np.concatenate((s, [0])).astype(np.int64)
         sa = suffix_array(s)
         self.bwt = s[sa - 1]
