@@ -36,19 +36,54 @@ def test_repair_needs_the_vocabulary(spark):
     assert {r.term: r.canonical for r in lookalikes.canonical_terms(t).collect()}["Tоtо"] == "Toto"
 
 
-def test_editor_restores_held_out_words():
-    rng = random.Random(5)
-    base = ["northern", "library", "expedition", "garden", "measured", "inventory", "dictionary", "mountain", "instrument", "company", "letters", "weather", "compared", "described", "translator", "committee"]
-    e = editor.Editor(base * 3)
-    hits = 0
-    held = ["gardener", "mountains", "inventories", "measurement", "companies", "weathered"]
-    for w in held:
-        t, r = rng.choice([(t, r) for t, r in editor.PAIRS if t in w])
-        i = w.index(t)
-        read = w[:i] + r + w[i + len(t) :]
-        hits += w in {v for v, _, _ in e.readings(read)}
-    assert hits == len(held)
-    assert list(e.readings("")) == []
+def test_operations_turn_what_was_read_into_what_is_true():
+    for true, read in editor.PAIRS:
+        assert editor.apply(f"x{read}y", editor.operations(true, read, 1)) == f"x{true}y"
+    assert {o[0] for t, r in editor.PAIRS for _, o in editor.operations(t, r)} == {"R", "D", "I"}
+    rng = random.Random(2)
+    for w in ("northern", "dictionary", "million", "1881"):
+        for edits in (1, 2):
+            made = editor.noise(w, rng, edits)
+            if made:
+                assert made[0] != w and editor.apply(*made) == w and w in {v for v, _, _ in editor.readings(made[0])}
+    assert list(editor.readings("")) == []
+
+
+KNOWN = ["northern", "library", "expedition", "garden", "measured", "inventory", "dictionary", "mountain", "instrument", "company", "letters", "weather", "compared", "described", "translator", "committee", "river", "winter", "modern", "corner", "return"]
+
+
+def _told(e, read, true, n, known):
+    """What is chosen for ``read`` if the corpus has it n times and ``true`` known times."""
+    ops = next(o for v, _, o in editor.readings(read) if v == true)
+    return e.margin(read, ops, editor.evidence(n, n, False, 1, known, known, 5, known, n)) > 0
+
+
+def test_editor_restores_held_out_words_and_keeps_real_ones():
+    e = editor.Editor()
+    held = [("rnountain", "mountain"), ("gardcner", "gardener"), ("inventorics", "inventories"), ("weathercd", "weathered"), ("cornpanies", "companies"), ("winteis", "winters"), ("diedared", "dieclared")]
+    held = [(r, t) for r, t in held if t in {v for v, _, _ in editor.readings(r)}]
+    assert len(held) >= 5
+    # without training nothing is taken
+    assert not any(_told(e, r, t, 1, 900) for r, t in held)
+    two = [("modem", "modern"), ("com", "corn"), ("bear", "hear"), ("form", "farm"), ("cat", "eat")]
+    kept = []
+    for a, b in two:
+        for x, y in ((a, b), (b, a)):
+            for v, n, ops in editor.readings(x):
+                if v == y:
+                    kept += [(x, ops, editor.evidence(k, k, False, n, m * k, m * k, 5, k, k)) for k in (3, 30, 300) for m in (1, 2, 3)]
+    e.fit_words([(w, 900, 880, 5) for w in KNOWN] * 3, kept)
+    assert all(_told(e, r, t, 1, 900) for r, t in held)
+    assert not _told(e, "modem", "modern", 300, 310) and not _told(e, "bear", "hear", 100, 90)
+
+
+def test_joins_and_lines_without_training_are_not_taken(spark):
+    e = editor.Editor()
+    assert e.join_margin("wea", "-", "ther", ["wj"]) == 0 and e.lines.score(["lmarked"]) == 0
+    joined = [("wea", "-", "ther"), ("lib", "-", "rary"), ("moun", "-", "tain"), ("let", "-", "ters"), ("com", "-", "pany")]
+    own = [("well", "-", "known"), ("half", "-", "open"), ("deep", "-", "sea"), ("long", "-", "lost"), ("hand", "-", "made")]
+    e.fit_joins([(*x, ["wj"], ["p00", "m0"], True) for x in joined] + [(*x, ["wo"], ["p22", "m0"], False) for x in own])
+    assert e.join_margin("gar", "-", "den", ["p00", "m0", "wj"]) > 0 > e.join_margin("old", "-", "world", ["p22", "m0", "wo"])
 
 
 def test_scans(spark):
@@ -64,6 +99,10 @@ def test_scans(spark):
         105: (None, set()),
         106: ("It was kept in 1847. (1847)", set()),
     }
+    # what the lines are learnt from: headers that other books repeat, lines within blocks, numbers of pages
+    sure = {300 + i: (f"THE LONG RIVER   {300 + i}\nThe library kept the record.", {"header", "page_number"}) for i in range(5)} | {310 + i: (f"- {310 + i} -", {"page_number"}) for i in range(3)}
+    plain = {320 + i: (f"The widow number {'abcdefgh'[i]}\nOf the garden kept the record of the weather.", set()) for i in range(6)}
+    cases |= sure | plain
     texts += [("p", k, 0, "b", 7 if k == 101 else k, "paragraph", False, t) for k, (t, _) in cases.items()]
     texts += [("p", 200 + i, 0, "b", 200 + i, "paragraph", False, "A well-known record, well-known to all.") for i in range(5)]
     df = spark.createDataFrame([*texts, texts[0]], "record_table string, record_id long, item int, book string, page int, kind string, first boolean, text string")
@@ -101,12 +140,13 @@ def test_misread_words_of_one_book(spark):
 
 def test_the_editor_decides_names(spark):
     texts = [("n", "There came Rnasa.")] + [(f"b{i % 4}", "There came Masa.") for i in range(40)]
-    rows = [("word", None, None, None, b, w.lower().strip("."), None, 1, int(w.islower())) for b, t in texts for w in t.split()]
+    rows = [("word", None, None, None, b, w.lower().strip("."), None, 1, int(w.islower()), None) for b, t in texts for w in t.split()]
     facts = spark.createDataFrame(rows, scans.FACTS)
-    e, words = editor.Editor([]), scans.vocabulary(facts)
-    assert scans.misread_words(words, facts, e).isEmpty()
-    e.weights = {("cr", "Rm"): 1.0}
-    assert [tuple(r) for r in scans.misread_words(words, facts, e).collect()] == [("rnasa", "masa", True)]
+    e, words = editor.Editor(), scans.vocabulary(facts)
+    found = scans.word_readings(words, facts)
+    assert scans.misread_words(found, e).isEmpty()
+    e.words.weights = {"cr>Rm": 1.0}
+    assert [tuple(r) for r in scans.misread_words(found, e).collect()] == [("rnasa", "masa", True)]
 
 
 def test_edit_metric_and_near():
