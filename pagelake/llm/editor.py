@@ -113,15 +113,24 @@ def reading_features(word: str, ops: Iterable[Operation], told: list[str]) -> li
     return [f"{f}>{o}" for i, o in ops for f in around(word, i)] + told
 
 
-def readings(word: str, edits: int = EDITS) -> Iterator[tuple[str, int, list[Operation]]]:
-    """(reading, number of confusions, operations) for up to ``edits`` confusions read back: what the editor chooses from."""
-    spots = [(i, len(r), operations(t, r, i)) for i in range(len(word)) for t, r in BY_READ.get(word[i], ()) if word.startswith(r, i)]
-    for a, (i, n, ops) in enumerate(spots):
-        yield apply(word, ops), 1, ops
+def readings(word: str, edits: int = EDITS) -> Iterator[tuple[str, int, tuple]]:
+    """(reading, number of confusions, their places as (place, true, read)) for up to ``edits`` confusions read back: what the editor chooses from."""
+    spots = [(i, t, r) for i in range(len(word)) for t, r in BY_READ.get(word[i], ()) if word.startswith(r, i)]
+    for a, (i, t, r) in enumerate(spots):
+        head, rest = word[:i] + t, i + len(r)
+        yield head + word[rest:], 1, ((i, t, r),)
         if edits > 1:
-            for j, _, more in spots[a + 1 :]:
-                if j >= i + n:
-                    yield apply(word, ops + more), 2, ops + more
+            for j, u, q in spots[a + 1 :]:
+                if j >= rest:
+                    yield head + word[rest:j] + u + word[j + len(q) :], 2, ((i, t, r), (j, u, q))
+
+
+def restoring(word: str, reading: str, edits: int) -> list[Operation]:
+    """The operations of the first way of ``edits`` confusions that makes ``reading`` of ``word``."""
+    for v, n, spots in readings(word, edits):
+        if v == reading and n == edits:
+            return [o for i, t, r in spots for o in operations(t, r, i)]
+    return []
 
 
 def noise(word: str, rng: random.Random, edits: int) -> tuple[str, list[Operation]] | None:

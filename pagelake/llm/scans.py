@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.editor import WORDS, Editor, evidence, readings, step
+from pagelake.llm.editor import WORDS, Editor, evidence, readings, restoring, step
 from pagelake.session import cut
 from pagelake.sources.tables import table
 
-#: Parameters: how much more frequent a reading must be (by edits), least occurrences and books of a reading, pages of a sure header, the
+#: Parameters: how much more frequent a reading must be (by edits), least occurrences and books of a reading, of any reading at all, pages of a sure header, the
 #: ratio up to which a pair is two words, examples of each kind that the editor is fitted on, and readings that may be sent along.
-RATIO, OFTEN, BOOKS, PAGES, APART, CASES, DOUBT = {1: 12, 2: 40}, 12, 3, 3, 4, 4_000, 200_000
+RATIO, OFTEN, BOOKS, LEAST, PAGES, APART, CASES, DOUBT = {1: 12, 2: 40}, 12, 3, 3, 3, 4, 4_000, 200_000
 HYPHEN = "-\xad¬‐‑"
 _DIVIDED = re.compile(rf"([^\W\d_]+(?:['’][^\W\d_]+)?)([{HYPHEN}])[ \t\xa0]*\r?\n[ \t\xa0]*([^\W_]+)")
 _TOKEN = re.compile(rf"[^\W_]+(?:[!|][^\W_]+)*(?:[{HYPHEN}][^\W\d_]+)*")
@@ -173,7 +173,7 @@ def _swapped(a: str, b: str) -> bool:
 
 
 def word_readings(words: DataFrame, facts: DataFrame) -> DataFrame:
-    """(word, reading, edits, ops, n, lower, odd, known, known_lower, known_books, there, most): each word with each reading that the corpus has.
+    """(word, reading, edits, n, lower, odd, known, known_lower, known_books, there, most): each word with each reading that the corpus has LEAST times.
 
     No word is left out by its frequency, by its length or by the book that has it. there: how often the book with most of the word's
     occurrences has the reading, asked for words that are always capitalised.
@@ -186,25 +186,21 @@ def word_readings(words: DataFrame, facts: DataFrame) -> DataFrame:
                 odd = not w.isalpha()
                 if len(w) < (3 if odd else 4):
                     continue
-                best: dict[str, tuple[int, list]] = {}
-                for v, edits, ops in readings(w, 2 if len(w) >= 6 else 1):
-                    if v != w and (v.isalpha() or v.isdigit()) and not (edits == 2 and _swapped(w, v)) and (v not in best or edits < best[v][0]):
-                        best[v] = (edits, ops)
-                rows += [(w, v, n, small, home, most, odd, e, [f"{i} {o}" for i, o in ops]) for v, (e, ops) in best.items()]
-            yield pd.DataFrame(rows, columns=["word", "reading", "n", "lower", "home", "most", "odd", "edits", "ops"])
-
-    doubt = words.mapInPandas(run, "word string, reading string, n long, lower long, home string, most long, odd boolean, edits int, ops array<string>")
-    known = words.select(F.col("word").alias("reading"), F.col("n").alias("known"), F.col("lower").alias("known_lower"), F.col("books").alias("known_books"))
+                best: dict[str, int] = {}
+                for v, edits, _ in readings(w, 2 if len(w) >= 6 else 1):
+                    if edits < best.get(v, 9):
+                        best[v] = edits
+                rows += [(w, v, n, small, home, most, odd, e) for v, e in best.items() if v != w and (v.isalpha() or v.isdigit()) and not (e == 2 and _swapped(w, v))]
+            yield pd.DataFrame(rows, columns=["word", "reading", "n", "lower", "home", "most", "odd", "edits"])
+
+    doubt = words.mapInPandas(run, "word string, reading string, n long, lower long, home string, most long, odd boolean, edits int")
+    known = words.where(F.col("n") >= LEAST).select(F.col("word").alias("reading"), F.col("n").alias("known"), F.col("lower").alias("known_lower"), F.col("books").alias("known_books"))
     j = cut(doubt.join(known, "reading"))
     asked = j.where("lower = 0 and not odd and known > n").select(F.col("reading").alias("a"), F.col("home").alias("book")).distinct()
     there = facts.where("fact = 'word'").join(asked, ["a", "book"]).groupBy(F.col("a").alias("reading"), F.col("book").alias("home")).agg(F.sum("n").alias("there"))
     return cut(j.join(there, ["reading", "home"], "left").withColumn("there", F.coalesce("there", F.lit(0))).drop("home"))
 
 
-def _operations(ops: list[str]) -> list[tuple[int, str]]:
-    return [(int(i), o) for i, _, o in (x.partition(" ") for x in ops)]
-
-
 def _evidence(r) -> list[str]:
     return evidence(r.n, r.lower, r.odd, r.edits, r.known, r.known_lower, r.known_books, r.there, r.most)
 
@@ -217,7 +213,7 @@ def train_words(editor: Editor, words: DataFrame, pairs: DataFrame, sample: int
     often = words.where((F.col("n") >= OFTEN) & (F.col("books") >= BOOKS) & F.length("word").between(3, 24) & ~F.col("word").contains("-"))
     known = [(r.word, r.n, r.lower, r.books) for r in _sample(often.select("word", "n", "lower", "books"), "word", n=sample) if r.word.isalpha() or r.word.isdigit()]
     two = pairs.where((F.col("known") < APART * F.col("n")) & ~F.col("odd") | (F.col("lower") == 0) & ~F.col("odd") & (F.col("there") == 0))
-    editor.fit_words(known, [(r.word, _operations(r.ops), _evidence(r)) for r in _sample(two, "word", "reading")])
+    editor.fit_words(known, [(r.word, restoring(r.word, r.reading, r.edits), _evidence(r)) for r in _sample(two, "word", "reading")])
 
 
 def misread_words(pairs: DataFrame, editor: Editor) -> DataFrame:
@@ -231,7 +227,7 @@ def misread_words(pairs: DataFrame, editor: Editor) -> DataFrame:
     ratio = F.when(F.col("edits") == 1, RATIO[1]).otherwise(RATIO[2])
     name = F.col("known_lower") < 0.5 * F.col("known")
     plain = (F.col("known") >= ratio * F.col("n")) & (F.col("known") >= OFTEN) & (F.col("known_books") >= BOOKS) & ((F.col("lower") > 0) | name)
-    odd = (F.col("known") >= 2 * F.col("n")) & (F.col("known") >= F.when(F.col("edits") == 1, 3).otherwise(OFTEN))
+    odd = (F.col("known") >= 2 * F.col("n")) & (F.col("known") >= F.when(F.col("edits") == 1, LEAST).otherwise(OFTEN))
     capitals = F.col("odd") | name | (F.col("lower") * F.col("known") >= 0.5 * F.col("n") * F.col("known_lower"))
     j = pairs.where(F.when(F.col("odd"), odd).otherwise(plain)).withColumn("capitals", capitals)
 
@@ -239,7 +235,7 @@ def misread_words(pairs: DataFrame, editor: Editor) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                margin = said.value.margin(r.word, _operations(r.ops), _evidence(r))
+                margin = said.value.margin(r.word, restoring(r.word, r.reading, r.edits), _evidence(r))
                 if margin > 0:
                     rows.append((r.word, r.reading, r.edits, margin, r.known, r.capitals))
             yield pd.DataFrame(rows, columns=["word", "reading", "edits", "margin", "known", "capitals"])

@@ -54,8 +54,7 @@ KNOWN = ["northern", "library", "expedition", "garden", "measured", "inventory",
 
 def _told(e, read, true, n, known):
     """What is chosen for ``read`` if the corpus has it n times and ``true`` known times."""
-    ops = next(o for v, _, o in editor.readings(read) if v == true)
-    return e.margin(read, ops, editor.evidence(n, n, False, 1, known, known, 5, known, n)) > 0
+    return e.margin(read, editor.restoring(read, true, 1), editor.evidence(n, n, False, 1, known, known, 5, known, n)) > 0
 
 
 def test_editor_restores_held_out_words_and_keeps_real_ones():
@@ -69,9 +68,9 @@ def test_editor_restores_held_out_words_and_keeps_real_ones():
     kept = []
     for a, b in two:
         for x, y in ((a, b), (b, a)):
-            for v, n, ops in editor.readings(x):
+            for v, n, _ in editor.readings(x):
                 if v == y:
-                    kept += [(x, ops, editor.evidence(k, k, False, n, m * k, m * k, 5, k, k)) for k in (3, 30, 300) for m in (1, 2, 3)]
+                    kept += [(x, editor.restoring(x, y, n), editor.evidence(k, k, False, n, m * k, m * k, 5, k, k)) for k in (3, 30, 300) for m in (1, 2, 3)]
     e.fit_words([(w, 900, 880, 5) for w in KNOWN] * 3, kept)
     assert all(_told(e, r, t, 1, 900) for r, t in held)
     assert not _told(e, "modem", "modern", 300, 310) and not _told(e, "bear", "hear", 100, 90)
