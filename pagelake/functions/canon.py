@@ -108,9 +108,9 @@ def term_positions(text: Column, term: Column) -> Column:
 
 
 def escape_xml(text: Column) -> Column:
-    """Text with markup characters escaped and control characters that XML forbids removed."""
-    out = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    """Text with markup characters and both quotes escaped; characters that XML forbids become U+FFFD."""
+    out = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{fffe}\\x{ffff}]", "\ufffd")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -125,7 +125,17 @@ def token_estimate(text: Column) -> Column:
     return F.octet_length(text)
 
 
-def regular_variants(term: str) -> list[str]:
-    """A lower-case English term with its regular variants."""
-    t = term.casefold()
-    return [t, t + "s", t + "es", t + "'s"] + ([t[:-1] + "ies"] if t.endswith("y") else [])
+def regular_variants(term: Column) -> Column:
+    """A plain ASCII term with its regular English variants, any other term alone, as an array in lower case."""
+    t = F.lower(term)
+    ends = F.array(t, *[F.concat(t, F.lit(x)) for x in ("s", "es", "'s", "’s")])
+    ies = F.when(t.rlike("[^aeiou]y$"), F.array(F.concat(F.left(t, F.length(t) - 1), F.lit("ies")))).otherwise(F.array().cast("array<string>"))
+    return F.when(t.rlike("^[a-z0-9 ]+$"), F.concat(ends, ies)).otherwise(F.array(t))
+
+
+def contains_variant(text: Column, term: Column) -> Column:
+    """Whether ``text`` has ``term`` or a regular variant of it: a plain ASCII term as a word, any other one anywhere; case and spacing aside."""
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    t, x = flat(term), F.concat(F.lit(" "), flat(text), F.lit(" "))
+    as_word = F.exists(regular_variants(t), lambda v: F.size(term_positions(x, v)) > 0)
+    return F.coalesce((t != "") & F.when(t.rlike("^[a-z0-9 ]+$"), as_word).otherwise(F.contains(x, t)), F.lit(False))

@@ -82,3 +82,34 @@ def edge_id(subject: Column, parent: Column, child: Column, stage: Column, kind:
 def semantic_key(tag: str, *inputs: Column) -> Column:
     """Key of all that a result depends on; it changes if, and only if, one of the inputs does."""
     return tagged_hash(tag, *[F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-")) for c in inputs])
+
+
+#: Tags of the semantic keys.
+KEYS = {
+    "extraction": "source-extraction-v2", "shard": "evidence-v1", "membership": "membership-v1", "projection": "projection-v1",
+    "translation": "translation-v1", "reconciliation": "reconciliation-v1", "validation": "validation-v1", "render": "render-input-v1",
+}
+
+
+def key_of(stage: str, *raw: Column, **fields: Column) -> Column:
+    """Semantic key of a stage: ``fields`` are JSON text (see :func:`quoted`, :func:`ordered`), ``raw`` bytes follow them."""
+    return tagged_hash(KEYS[stage], json_object(**fields), *raw)
+
+
+def extraction_key(schema: Column, prompt: Column, executable: Column, model: Column, raw: Column, reasoning: Column) -> Column:
+    """Key of a page's extraction: all that the model is given."""
+    return key_of("extraction", prompt, raw, extraction_schema=quoted(schema), model_executable_identity=quoted(executable), model_id=quoted(model), reasoning_level=quoted(reasoning))
+
+
+def membership_key(concept: Column, occurrence_ids: Column, shard_ids: Column, rules: Column) -> Column:
+    return key_of("membership", concept_id=quoted(concept), occurrence_ids=ordered(occurrence_ids), evidence_shard_ids=ordered(shard_ids), membership_rules_version=quoted(rules))
+
+
+def reconciliation_key(page_ids: Column, text_hashes: Column, projection_ids: Column) -> Column:
+    """Key of a reconciliation; pages and hashes keep their order, which is part of it."""
+    return key_of("reconciliation", effective_page_ids=F.to_json(page_ids), effective_page_text_hashes=F.to_json(text_hashes), projection_ids=ordered(projection_ids))
+
+
+def fingerprint(prompt: Column) -> Column:
+    """The first twelve hex digits of a prompt's SHA-256."""
+    return F.left(F.sha2(prompt, 256), F.lit(12))

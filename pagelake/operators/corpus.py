@@ -15,6 +15,15 @@ def dedupe(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with repeated rows of one key as one; only rows whose key is repeated are shuffled with all their columns.
+
+    The repeated keys are found on the key alone. While they are few, they are sent along and no other row moves.
+    """
+    twice = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return df.join(twice, key, "left_anti").unionByName(df.join(twice, key, "left_semi").dropDuplicates([key]))
+
+
 def reconcile(current: DataFrame, history: DataFrame, key: str, ident: str) -> DataFrame:
     """``current`` with status new, reused or ambiguous and the id found, by 0, 1 or more ids that ``history`` has for the key."""
     h = history.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(ident).alias("known"), F.min(ident).alias("known_id"))

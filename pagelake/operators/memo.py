@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelake.session import cut
+
 
 class Conflict(ValueError):
     """An id is to get other content than it has."""
@@ -39,12 +41,34 @@ def unique_leaves(rows: DataFrame, subject: str, leaf: str) -> DataFrame:
     return rows.where(F.col(leaf).isNotNull()).groupBy(subject).agg(F.countDistinct(leaf).alias("n"), F.min(leaf).alias(leaf)).where("n = 1").drop("n")
 
 
+#: Member hashes that are joined to one text at a time.
+STRETCH = 4_096
+
+
 def manifest(members: DataFrame, key: str, content: str) -> DataFrame:
-    """One row (members, hash): the hash of all members' hashes in the order of their ids."""
+    """One row (members, hash): a hash over the members' hashes in the order of their ids, as a tree.
+
+    Members are numbered in order by ranges, STRETCH of them make a hash, and so on up, so no list of all members is gathered.
+    """
     m = members.select(F.col(key).cast("string").alias("k"), F.sha2(F.col(content).cast("binary"), 256).alias("h")).distinct()
-    # hashes are added up, so no member list is gathered in one place
-    parts = [F.sum(F.conv(F.substring(F.sha2(F.concat_ws("\0", "k", "h"), 256), i, 13), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in (1, 14, 27, 40)]
-    return m.agg(F.count("*").alias("members"), *parts).select("members", F.sha2(F.concat_ws("/", "members", *[F.coalesce(f"p{i}", F.lit(0)) for i in (1, 14, 27, 40)]), 256).alias("hash"))
+    n = m.count()
+    level = m.select("k", F.sha2(F.concat_ws("\0", "k", "h"), 256).alias("h"))
+    while True:
+        numbered = cut(_numbered(level))
+        level = numbered.groupBy(F.floor(F.col("n") / STRETCH).alias("g")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+        level = cut(level.select(F.lpad(F.col("g").cast("string"), 18, "0").alias("k"), "h"))
+        if level.count() <= 1:
+            break
+    top = level.agg(F.coalesce(F.max("h"), F.lit("")).alias("h"))
+    return top.select(F.lit(n).cast("long").alias("members"), F.sha2(F.concat_ws("/", F.lit(str(n)), "h"), 256).alias("hash"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows (k, h) with n, their number from 0 in the order of k: sorted by ranges, counted by partition."""
+    at = cut(rows.repartitionByRange("k").sortWithinPartitions("k").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("long"), 33)))
+    sizes = at.groupBy("p").agg(F.count("*").alias("c"))
+    before = sizes.withColumn("before", F.sum("c").over(W.orderBy("p")) - F.col("c")).select("p", "before")
+    return at.join(F.broadcast(before), "p").select("k", "h", (F.col("before") + F.col("i")).alias("n"))
 
 
 def seal(members: DataFrame, folder: str, revision: str, key: str, content: str) -> str:
@@ -63,20 +87,35 @@ def verify(spark: SparkSession, folder: str, revision: str, key: str, content: s
     return manifest(spark.read.parquet(f"{at}/members"), key, content).first() == spark.read.parquet(f"{at}/manifest").first()
 
 
-def activate(pointer: str, revision: str) -> None:
-    """Replace the one-line pointer file in one step."""
-    d = os.path.dirname(os.path.abspath(pointer))
-    fd, name = tempfile.mkstemp(dir=d)
-    with os.fdopen(fd, "w") as f:
-        json.dump({"revision": revision}, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(name, pointer)
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its terms."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def activate(pointer: str, revision: str, spark: SparkSession | None = None) -> None:
+    """Put ``revision`` into the one-line pointer file in one step: written beside it, then renamed over it, on any file system of Spark."""
+    spark = spark or SparkSession.active()
+    fs, p, jvm = _files(spark, pointer)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{pointer}.{uuid.uuid4().hex}.part")
+    out = fs.create(beside, True)
+    out.write(bytearray(json.dumps({"revision": revision}).encode()))
+    out.hflush()
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(beside), fs.makeQualified(p), over)
 
 
-def active(pointer: str) -> str | None:
+def active(pointer: str, spark: SparkSession | None = None) -> str | None:
     """The active revision, or None; never guessed from age."""
-    if not os.path.exists(pointer):
+    fs, p, jvm = _files(spark or SparkSession.active(), pointer)
+    if not fs.exists(p):
         return None
-    with open(pointer) as f:
-        return json.load(f)["revision"]
+    stream = fs.open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["revision"]
+    finally:
+        stream.close()

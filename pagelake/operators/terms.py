@@ -61,22 +61,24 @@ def name_runs(rows: DataFrame, key: list[str], text: str = "text", least: int =
     return out.where(size.between(least, most)).select(*key, F.col("r.position").alias("position"), size.alias("size"), F.array_join("r.words", " ").alias("phrase"))
 
 
-def phrases(rows: DataFrame, block: list[str], text: str = "text", least: int = 2, most: int = 6, within: str | None = None, separator: str = "^[\\p{Zs}\\p{Pd}'’]+\\z") -> DataFrame:
-    """(within, phrase, size, blocks): word windows of 2 to 6 words, parted by spaces, dashes or apostrophes, in two or more blocks.
+def phrases(rows: DataFrame, block: list[str], text: str = "text", least: int = 2, most: int = 6, within: str | None = None, joins: str = "\\p{Zs}\\p{Pd}'’") -> DataFrame:
+    """(within, phrase, size, blocks): word windows of 2 to 6 words, parted by characters of ``joins`` only, in two or more blocks.
 
-    Windows are counted once a block before the shuffle.
+    A text is first split where something else stands between words, so every window of a piece counts and no separator is looked at
+    twice. Windows are made unique a block, so a row is a block and no window is shuffled before it is counted. With joins "" any
+    separator will do.
     """
-    t = F.col(text)
-    base = rows.where(t.isNotNull()).select(*block, words(F.lower(t)).alias("w"), separators(t).alias("s"))
-    ok = "forall(slice(s, i + 2, n - 1), x -> x rlike {sep})"
-    windows = F.expr(
-        f"flatten(transform(filter(sequence({least}, {most}), n -> n <= size(w)), n -> transform(filter(sequence(0, size(w) - n), i -> "
-        + ok.format(sep="'" + separator.replace("\\", "\\\\").replace("'", "\\'") + "'")
-        + "), i -> struct(n as size, array_join(slice(w, i + 1, n), ' ') as phrase))))"
+    t = F.lower(F.col(text))
+    word, between = "\\p{L}\\p{N}_", f"[^\\p{{L}}\\p{{N}}_{joins}]"
+    pieces = F.array(t) if not joins else F.split(t, f"[^{word}]*{between}[^{word}]*")
+    made = lambda w: F.flatten(
+        F.transform(F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: n <= F.size(w)), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
     )
-    one = base.select(*block, F.explode(F.array_distinct(windows)).alias("x")).select(*block, "x.*").distinct()
+    windows = F.array_distinct(F.flatten(F.transform(F.transform(pieces, words), made)))
     group = [within] if within else []
-    return one.groupBy(*group, "phrase", "size").agg(F.count("*").alias("blocks")).where("blocks >= 2")
+    one = rows.where(F.col(text).isNotNull()).select(*group, F.explode(windows).alias("phrase"))
+    size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
+    return one.groupBy(*group, "phrase").agg(F.count("*").alias("blocks")).where("blocks >= 2").select(*group, "phrase", size.alias("size"), "blocks")
 
 
 def _marked(found: Column, kind: str) -> Column:
@@ -136,16 +138,23 @@ def conflicts(rows: DataFrame, group: list[str], value: str, order: str) -> Data
     return rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.countDistinct(value).alias("n_values"), F.min_by(value, order).alias("first")).where("n_values > 1")
 
 
-def terms_in_texts(terms: DataFrame, texts: DataFrame, book: str, term: str, text: str) -> DataFrame:
-    """Rows of ``terms`` with the rows of ``texts`` of their book whose text has the term as a word, case aside.
+def terms_in_texts(terms: DataFrame, texts: DataFrame, book: str, term: str, text: str, block: list[str]) -> DataFrame:
+    """Rows of ``terms`` with the ``block`` keys of the texts of their book that have the term as a word, case aside.
 
-    Met by the term's first word, so each text is joined only with terms it may have; then checked.
+    Only (book, word, block) is shuffled to meet the terms by their longest word, never a text for each of its words. A term of one
+    word is then found; for the others the texts that may have one are fetched once and checked.
     """
-    first = F.get(words(F.lower(F.col(term))), 0)
-    t = terms.where(F.col(term).isNotNull()).withColumn("_w", first).where("_w is not null")
-    x = texts.where(F.col(text).isNotNull()).withColumn("_w", F.explode(F.array_distinct(words(F.lower(F.col(text))))))
-    padded = lambda c: F.lower(c)
-    return t.join(x, [book, "_w"]).where(F.size(term_positions(padded(F.col(text)), F.lower(F.col(term)))) > 0).drop("_w")
+    low = F.lower(F.col(term))
+    longest = F.array_max(F.transform(words(low), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    t = terms.where(F.col(term).isNotNull()).withColumn("_w", longest).where("_w is not null").withColumn("_one", low == F.col("_w"))
+    held = texts.where(F.col(text).isNotNull())
+    x = held.select(book, *block, F.explode(F.array_distinct(words(F.lower(F.col(text))))).alias("_w"))
+    met = t.join(x, [book, "_w"])
+    columns = [*terms.columns, *block]
+    once = held.select(*[F.col(c).alias(f"_{c}") for c in block], F.lower(F.col(text)).alias("_t"))
+    same = [met[c] == once[f"_{c}"] for c in block]
+    many = met.where("not _one").join(once, same).where(F.size(term_positions(F.col("_t"), low)) > 0)
+    return met.where("_one").select(*columns).unionByName(many.select(*columns))
 
 
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:

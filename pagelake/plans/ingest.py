@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import ids
-from pagelake.functions.canon import detect_language, escape_xml
+from pagelake.functions.canon import STOP_WORDS, detect_language, escape_xml
 from pagelake.operators import corpus, quality, render
 from pagelake.sources.tables import table
 
@@ -20,7 +20,7 @@ def _pages(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, root: str, *keep: str) -> DataFrame:
-    return corpus.blocks(_pages(spark, root, "blocks", *keep), "extraction_id", *keep)
+    return corpus.blocks(corpus.once(table(spark, root, "page_extractions", "extraction_id", "blocks", *keep), "extraction_id"), "extraction_id", *keep)
 
 
 def page_identity(spark: SparkSession, root: str) -> DataFrame:
@@ -50,7 +50,7 @@ def missing_pages(spark: SparkSession, root: str) -> DataFrame:
 
 def root_segments(spark: SparkSession, root: str) -> DataFrame:
     b = _blocks(spark, root)
-    anchor = F.sha2(F.concat_ws("\0", "type", F.col("reading_order").cast("string"), "text"), 256)
+    anchor = ids.anchor(F.col("type"), F.col("reading_order") + 1, F.col("text"))
     return corpus.segments(b, "extraction_id", anchor).select("extraction_id", "anchor", "kind", "reading_order", "placements")
 
 
@@ -117,12 +117,11 @@ QUERIES = {
 
 _P = "p as (select distinct on (extraction_id) * from page_extractions)"
 _B = f"{_P}, b as (select extraction_id, book_id, page_number, source_lang, (i - 1)::int as item, x.id as block_id, x.type as type, x.text as text, x.reading_order as reading_order from (select *, generate_subscripts(blocks, 1) as i, unnest(blocks) as x from p))"
-_ESC = "replace(replace(replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_ESC = "replace(replace(replace(replace(replace(regexp_replace(text, '[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}\\x{fffe}\\x{ffff}]', chr(65533), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 
 
 def _detect(text: str) -> str:
-    words = {"en": "the and is are this that with for of to", "fr": "le la les de des et bonjour merci avec pour", "es": "el la los las de y hola gracias con para", "de": "der die das und ist mit für ein eine hallo"}
-    n = {c: f"len(list_filter(w, lambda z: z in ({', '.join(repr(x) for x in v.split())})))" for c, v in words.items()}
+    n = {c: f"len(list_filter(w, lambda z: z in ({', '.join(repr(x) for x in v)})))" for c, v in STOP_WORDS.items()}
     most = f"greatest({', '.join(n.values())})"
     pick = " ".join(f"when {q} = m then '{c}'" for c, q in n.items())
     return f"""case when regexp_matches({text}, '[\\x{{3040}}-\\x{{30ff}}]') then 'ja' when regexp_matches({text}, '[\\x{{ac00}}-\\x{{d7af}}]') then 'ko' when regexp_matches({text}, '[\\x{{4e00}}-\\x{{9fff}}]') then 'zh'
@@ -136,7 +135,7 @@ SQL = {
     "history_reconcile": f"""with {_P}, h as (select sha256, count(distinct page_id) as n, min(page_id) as k from p where extracted_at < '{SINCE}' and sha256 is not null group by 1)
 select extraction_id, case when coalesce(n, 0) = 0 then 'new' when n = 1 then 'reused' else 'ambiguous' end as status, case when n = 1 then k end as known_id from p left join h using (sha256) where extracted_at >= '{SINCE}'""",
     "missing_pages": f"with {_P} select distinct page_id from p where extracted_at < '{SINCE}' and page_id not in (select page_id from p where extracted_at >= '{SINCE}')",
-    "root_segments": f"""with {_B}, s as (select extraction_id, type as kind, text, reading_order + 1 as reading_order, sha256(concat_ws(chr(0), type, reading_order::varchar, text)) as anchor from b where type is distinct from 'illustration'),
+    "root_segments": f"""with {_B}, s as (select extraction_id, type as kind, text, reading_order + 1 as reading_order, sha256('anchor-v1' || chr(0) || '[' || to_json(type)::varchar || ',' || (reading_order + 1)::varchar || ',' || to_json(text)::varchar || ',{{}}]') as anchor from b where type is distinct from 'illustration'),
 o as (select extraction_id, reading_order, count(distinct anchor) as n, bool_or(kind is null or kind not in ('heading','paragraph','caption','footnote','table','list_item','pull_quote','illustration','quote','page_number') or text is null or trim(text) = '' or reading_order < 1) as bad from s group by 1, 2),
 g as (select extraction_id, bool_or(bad or n > 1) as bad from o group by 1)
 select extraction_id, anchor, min(kind) as kind, min(reading_order)::int as reading_order, count(*) as placements from s where extraction_id in (select extraction_id from g where not bad) group by 1, 2

@@ -1,6 +1,10 @@
+import io
 import json
+import os
 import random
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,7 +130,7 @@ def test_greedy_batches(spark):
 def test_terms_in_texts_by_brute_force(spark):
     t = spark.createDataFrame([("b", 1, "Sea wall"), ("b", 2, "wall"), ("b", 3, None), ("b", 4, "!"), ("c", 5, "sea")], "book string, g int, term string")
     x = spark.createDataFrame([("b", 1, "A sea WALL here"), ("b", 2, "seawall"), ("c", 3, None)], "book string, i int, text string")
-    assert rows(terms.terms_in_texts(t, x, "book", "term", "text").select("g", "i")) == [(1, 1), (2, 1)]
+    assert rows(terms.terms_in_texts(t, x, "book", "term", "text", ["i"]).select("g", "i")) == [(1, 1), (2, 1)]
 
 
 @pytest.mark.parametrize("radius", [0, 3, 5])
@@ -224,11 +228,20 @@ def test_models_fall_back(spark):
 def test_render_is_deterministic(spark, tmp_path):
     b = spark.createDataFrame([("k", 1, 0, "heading", "A & B", 0, "en"), ("k", 1, 1, "paragraph", "<x>", 1, "en"), ("k", 2, 0, "illustration", "p", 0, None), ("k", 3, 0, "quote", "q\x01", 0, None)], "book string, page int, item int, type string, text string, reading_order int, lang string")
     x = render.xhtml(b, ["book", "page"], "lang")
-    assert rows(x) == [("k", 1, '<body lang="en"><h2>A &amp; B</h2><p>&lt;x&gt;</p></body>'), ("k", 3, '<body lang="und"><blockquote>q</blockquote></body>')]
-    got = render.books(x, "book", "page", str(tmp_path)).collect()
+    assert rows(x) == [("k", 1, '<body lang="en"><h2>A &amp; B</h2><p>&lt;x&gt;</p></body>'), ("k", 3, '<body lang="und"><blockquote>q�</blockquote></body>')]
+    got = render.books(x.withColumn("lang", F.lit("en")), "book", "page", str(tmp_path), "lang").collect()
     assert [(r.book, r.pages) for r in got] == [("k", 2)]
     first = open(got[0].path, "rb").read()
-    assert first == render.epub_bytes("k", [(f"page-{r.page}", r.body) for r in sorted(x.collect())]) and first[:2] == b"PK"
+    with zipfile.ZipFile(io.BytesIO(first)) as z:
+        assert z.namelist() == ["mimetype", "META-INF/container.xml", "page-1.xhtml", "page-3.xhtml", "nav.xhtml", "provenance.json", "book.opf"]
+        told = json.loads(z.read("provenance.json"))
+        assert [p["name"] for p in told["pages"]] == ["page-1", "page-3"] and b"<dc:language>en</dc:language>" in z.read("book.opf") and b"dcterms:modified" in z.read("book.opf")
+        for n in z.namelist()[1:]:
+            if n.endswith(("xhtml", "opf", "xml")):
+                ElementTree.fromstring(z.read(n))
+    again = render.books(x.withColumn("lang", F.lit("en")), "book", "page", f"file://{tmp_path}/again", "lang").collect()
+    assert [r.pages for r in again] == [2] and sorted(p.name for p in (tmp_path / "again").iterdir()) == ["k.epub"]
+    assert render.epub_bytes("t", [("a", "<body/>")]) == render.epub_bytes("t", [("a", "<body/>")])
 
 
 def test_sources_and_stream(spark, tmp_path):
@@ -247,8 +260,11 @@ def test_sources_and_stream(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
     (folder / "4.jpg").write_bytes(b"new")
     (folder / "5.jpg").write_bytes(b"y")
+    # a file may be of any age
+    (folder / "6.jpg").write_bytes(b"old")
+    os.utime(folder / "6.jpg", (1_000_000_000, 1_000_000_000))
     discovery.discover(discovery.page_stream(spark, str(folder)), out, ck).awaitTermination()
-    assert spark.read.parquet(out).select("page_id").distinct().count() == 3
+    assert spark.read.parquet(out).count() == spark.read.parquet(out).select("page_id").distinct().count() == 4
     case = tmp_path / "cases" / "case_1"
     case.mkdir(parents=True)
     (case / "config.json").write_text(json.dumps({"name": "one", "expected": {"block_schema": True}, "risk_tags": ["t"]}))
