@@ -115,6 +115,11 @@ def escape_xml(text: Column) -> Column:
     return out
 
 
+def blank(text: Column) -> Column:
+    """Whether a text is null or has nothing but white space of any kind."""
+    return F.coalesce(~text.rlike("[^\\s\\p{Z}\\x1c-\\x1f\\x85]"), F.lit(True))
+
+
 def tail(text: Column, limit: int = 8192) -> Column:
     """The last ``limit`` characters."""
     return F.right(text, F.lit(limit))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelake.functions.canon import blank
+
 
 def effective_segments(source: DataFrame, translated: DataFrame | None, on: list[str], lang: str, target: Column | None = None) -> DataFrame:
     """Source rows with effective_text, render_lang and mode.
@@ -15,7 +17,7 @@ def effective_segments(source: DataFrame, translated: DataFrame | None, on: list
     """
     if translated is None:
         return source.withColumn("effective_text", F.col("text")).withColumn("render_lang", F.coalesce(F.nullif(F.trim(lang), F.lit("")), F.lit("und"))).withColumn("mode", F.lit("native"))
-    t = translated.groupBy(*on).agg(F.min(F.when(F.trim("translated_text") != "", F.struct("translated_text", "target_lang"))).alias("t"))
+    t = translated.groupBy(*on).agg(F.min(F.when(~blank(F.col("translated_text")), F.struct("translated_text", "target_lang"))).alias("t"))
     j = source.join(t, on, "left")
     ok = F.col("t").isNotNull()
     return j.withColumn("effective_text", F.col("t.translated_text")).withColumn("render_lang", F.when(ok, F.col("t.target_lang")).otherwise("und")).withColumn("mode", F.when(ok, "translated").otherwise("diagnostic")).drop("t")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.functions.canon import BLOCK_TYPES, detect_language
+from pagelake.functions.canon import BLOCK_TYPES, blank, detect_language
 from pagelake.session import cut
 
 FINDING = "subject string, rule string, severity string, detail string"
@@ -85,10 +85,9 @@ def page_stages(blocks: DataFrame, translated: DataFrame, mentions: DataFrame, p
     """
     pages = translated.select(page).distinct()
     b = blocks.join(pages, page, "left_semi")
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     schema = block_schema(b, page).where("rule <> 'empty_text'").groupBy(page).agg(F.sum("n").alias("block_schema"))
-    empty = b.groupBy(page).agg(F.count_if(blank("text")).alias("_s"), F.count_if(F.col("type") == "illustration").alias("_i"), F.max("illustrations").alias("_n"))
-    t = translated.groupBy(page).agg(F.count_if(blank("translated_text")).alias("_t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "translated_text"))), lambda x: F.coalesce(x["translated_text"], F.lit(""))), "\n").alias("_x"), F.min("target_lang").alias("_l"))
+    empty = b.groupBy(page).agg(F.count_if(blank(F.col("text"))).alias("_s"), F.count_if(F.col("type") == "illustration").alias("_i"), F.max("illustrations").alias("_n"))
+    t = translated.groupBy(page).agg(F.count_if(blank(F.col("translated_text"))).alias("_t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "translated_text"))), lambda x: F.coalesce(x["translated_text"], F.lit(""))), "\n").alias("_x"), F.min("target_lang").alias("_l"))
     found = detect_language(F.col("_x"))
     ids = correspondence(b, translated, [page, "block_id"]).groupBy(page).agg(F.count("*").alias("block_id_correspondence"))
     terms = mentions.groupBy(page).agg(F.count_if(~F.col("found")).alias("glossary_consistency"))
@@ -115,7 +114,7 @@ def effective_rules(segments: DataFrame, page: str, segment: str, text: str, exp
     said = detect_language(F.col(text))
     return {
         "effective_structure": lambda: found(s.groupBy("_subject").agg(F.count("*").alias("n")).where("n > 1"), "effective_structure", F.lit("the segment stands twice")),
-        "non_empty_text": lambda: found(s.where(F.coalesce(F.trim(text) == "", F.lit(True))), "non_empty_text", F.lit("the text is empty")),
+        "non_empty_text": lambda: found(s.where(blank(F.col(text))), "non_empty_text", F.lit("the text is empty")),
         "language": lambda: found(s.withColumn("_said", said).where((F.col(expected) != "und") & (F.col("_said") != F.lower(expected))), "language", F.concat(F.lit("appears to be "), F.col("_said"), F.lit(", expected "), F.col(expected))),
     }
 

@@ -51,8 +51,8 @@ def candidate_merge(spark: SparkSession, root: str) -> DataFrame:
 
 
 def candidate_topk(spark: SparkSession, root: str) -> DataFrame:
-    c = _candidates(spark, root).select("book_id", "candidate_key", (F.col("tier") - 1).alias("tier"), F.col("source_form").alias("form"), F.col("declared_block_ids").alias("blocks"), F.col("occurrence_ids").alias("occurrences"))
-    m = terms.top_candidates(terms.merge_candidates(c, ["book_id", "candidate_key"]), "book_id", "candidate_key", 16)
+    c = _candidates(spark, root).select("book_id", "candidate_key", "tier", F.col("source_form").alias("form"), F.col("declared_block_ids").alias("blocks"), F.col("occurrence_ids").alias("occurrences"))
+    m = terms.top_candidates(terms.merge_candidates(c, ["book_id", "candidate_key"]), "book_id", "candidate_key")
     return m.select("book_id", "candidate_key", "tier", "rank")
 
 
@@ -225,8 +225,8 @@ select distinct extraction_id, item, word, 'identifier' as kind from (select ext
 union all select distinct extraction_id, item, word, 'capitals' from (select extraction_id, item, unnest(ws) as word from t) where regexp_matches(word, '^\\p{{Lu}}{{2,}}$')
 union all select distinct extraction_id, item, word, 'compound' from (select extraction_id, item, unnest(regexp_extract_all(text, '[A-Za-z0-9]+[-/][A-Za-z0-9]+')) as word from t)) select word, kind, count(*) as blocks from x group by 1, 2""",
     "candidate_merge": f"with {_C}, {_CM} select book_id, candidate_key, tier, form, n_blocks::int as n_blocks, n_occurrences::int as n_occurrences from cm",
-    "candidate_topk": f"""with {_C}, {_CM}, r as (select book_id, candidate_key, tier - 1 as tier, row_number() over (partition by book_id order by tier, n_blocks desc, n_occurrences desc, candidate_key, form) as rank, sum((tier = 1)::int) over (partition by book_id) as held from cm)
-select book_id, candidate_key, tier, rank::int as rank from r where tier = 0 or (rank <= greatest(16, held) and held <= 16)""",
+    "candidate_topk": f"""with {_C}, {_CM}, r as (select book_id, candidate_key, tier, row_number() over (partition by book_id order by tier, n_blocks desc, n_occurrences desc, candidate_key, form) as rank, sum((tier = 0)::int) over (partition by book_id) as held from cm)
+select book_id, candidate_key, tier, rank::int as rank from r where tier = 0 or (rank <= greatest(64, held) and held <= 64)""",
     "concept_membership": f"with {_M} select book_id, lower(term) as form, string_agg(mention_id::varchar, ',' order by mention_id) as members from m group by 1, 2",
     "alias_index": f"with {_G}, x as (select distinct book_id, unnest(forms) as alias, group_id from g) select book_id, alias, string_agg(group_id::varchar, ',' order by group_id) as members from x group by 1, 2",
     "conflicting_categories": f"with {_M} select book_id, lower(term) as form, count(distinct category) as n_values, arg_min(category, mention_id) as first from m where category is not null group by 1, 2 having count(distinct category) > 1",
