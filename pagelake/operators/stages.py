@@ -8,6 +8,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelake.functions import ids
+from pagelake.operators import corpus, memo, quality, render, terms
+from pagelake.operators.effective import effective_segments
 
 
 @dataclass(frozen=True)
@@ -72,3 +77,51 @@ def run_stages(spark: SparkSession, stages: list[Stage], tables: dict[str, DataF
         row["ms"] = (time.perf_counter_ns() - began) // 1_000_000
         report.stages.append(row)
     return have, report
+
+
+def _segments(pages: DataFrame) -> dict[str, DataFrame]:
+    one = corpus.once(pages, "extraction_id")
+    b = corpus.blocks(one, "extraction_id")
+    s = corpus.segments(b, "extraction_id", ids.anchor(F.col("type"), F.col("reading_order") + 1, F.col("text")))
+    s = s.join(one.select("extraction_id", "book_id", "page_number", "source_lang"), "extraction_id")
+    n = one.groupBy("book_id").agg(F.count("*").alias("pages")).withColumn("status", F.lit("ok"))
+    none = one.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("book_id"), F.lit(0).cast("long").alias("pages"), F.lit("empty_input").alias("status"))
+    ident = F.coalesce("anchor", F.lit("diagnostic"))
+    return {"segments": s.withColumn("segment_id", ids.segment_id(F.col("extraction_id").cast("string"), ident)), "run_status": n.unionByName(none)}
+
+
+def _terms(segments: DataFrame) -> dict[str, DataFrame]:
+    rows = segments.where("text is not null")
+    return {"phrases": terms.phrases(rows, ["segment_id"], within="book_id"), "technical": terms.technical_words(rows, ["book_id", "segment_id"])}
+
+
+def _checks(effective: DataFrame) -> dict[str, DataFrame]:
+    return {"findings": quality.run_rules(effective.sparkSession, quality.effective_rules(effective, "extraction_id", "segment_id", "effective_text", "render_lang"))}
+
+
+def core() -> list[Stage]:
+    """The stages from pages to checked content: segments, terms, effective content, findings. An empty input gives one diagnostic row."""
+    return [
+        Stage("segments", ("pages",), ("segments", "run_status"), _segments),
+        Stage("terms", ("segments",), ("phrases", "technical"), _terms),
+        Stage("effective", ("segments",), ("effective",), lambda segments: {"effective": effective_segments(segments, None, [], "source_lang")}),
+        Stage("checks", ("effective",), ("findings",), _checks),
+    ]
+
+
+def tail(folder: str, revision: str) -> list[Stage]:
+    """The stages from content to a sealed revision under ``folder``: books, then members with their manifest; sealing activates nothing."""
+
+    def books(effective: DataFrame) -> dict[str, DataFrame]:
+        rows = effective.select("book_id", "page_number", F.col("kind").alias("type"), F.col("effective_text").alias("text"), "reading_order", F.col("segment_id").alias("item"), "render_lang")
+        pages = render.xhtml(rows, ["book_id", "page_number"], "render_lang")
+        langs = rows.groupBy("book_id", "page_number").agg(F.min("render_lang").alias("lang"))
+        return {"book_files": render.books(pages.join(langs, ["book_id", "page_number"]), "book_id", "page_number", f"{folder}/books/{revision}", "lang")}
+
+    def seal(effective: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
+        content = effective.select(F.col("segment_id").alias("id"), F.to_json(F.struct("extraction_id", "kind", "reading_order", "effective_text", "render_lang")).alias("content"))
+        notes = findings.groupBy("subject", "rule").agg(F.min("detail").alias("d")).select(F.concat_ws("/", F.lit("finding"), "rule", "subject").alias("id"), F.coalesce("d", F.lit("")).alias("content"))
+        got = memo.seal(content.unionByName(notes), folder, revision, "id", "content")
+        return {"revision": effective.sparkSession.createDataFrame([(revision, got)], "revision string, hash string")}
+
+    return [Stage("render", ("effective",), ("book_files",), books), Stage("seal", ("effective", "findings"), ("revision",), seal)]
