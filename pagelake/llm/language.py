@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.sources.tables import table
+from pagelake.sources.tables import spread, table
 
 #: Parameters: paragraphs a language of the sample, bits of a codeword, buckets of n-grams, the longest n-gram, ridge, the
 #: sharpness of the confidence, the confidence below which a text is ambiguous, and paragraphs that make a language.
@@ -33,6 +34,8 @@ NAMES = {
     "ja": "jpn japanese 日本語", "zh": "zho chi cmn chinese mandarin 中文 汉语 漢語 简体中文 繁體中文", "ar": "ara arabic العربية عربي عربية", "hi": "hin hindi हिन्दी हिंदी", "te": "tel telugu తెలుగు",
 }
 CODES = {w: c for c, ws in NAMES.items() for w in ws.split()} | {c: c for c in NAMES}
+#: Two letters that stand for no language.
+NO_CODES = ("xx", "zz", "qq")
 _WIDE = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff]")
 _WORD = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff]|[^\W\d_\u2e80-\u9fff\uf900-\ufaff]+")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -44,7 +47,7 @@ def label_code(label: Column) -> Column:
     plain = F.lower(F.trim(label))
     known = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
     first = F.regexp_extract(plain, r"^([^-_ (]+)", 1)
-    return F.coalesce(known[plain], known[first], F.when(first.rlike("^[a-z]{2}$"), first))
+    return F.coalesce(known[plain], known[first], F.when(first.rlike("^[a-z]{2}$") & ~first.isin(*NO_CODES), first))
 
 
 def words(text: str) -> list[str]:
@@ -57,6 +60,7 @@ def words(text: str) -> list[str]:
     return found + [a + b for a, b, x, y in zip(found, found[1:], single, single[1:]) if x and y]
 
 
+@lru_cache(100_000)
 def grams(word: str) -> list[int]:
     """Buckets of a word's n-grams, its ends marked."""
     w = f"<{word}>"
@@ -88,7 +92,8 @@ class Model:
         x = np.zeros((len(texts), BUCKETS), np.float32)
         for i, t in enumerate(texts):
             ids = [g for w in words(t) for g in grams(w)]
-            np.add.at(x[i], ids, np.float32(1 / max(len(ids), 1)))
+            if ids:
+                x[i] = np.bincount(ids, minlength=BUCKETS) / len(ids)
         scale = 1 / max(float(np.sqrt((x * x).sum(1)).mean()), 1e-9) if len(texts) else 1.0
         x *= np.float32(scale)
         y = self.codes[[self.languages.index(k) for k in labels]] if len(texts) else np.zeros((0, BITS))
@@ -215,12 +220,12 @@ def languages(pages: DataFrame, model: Model, clear: float = CLEAR) -> DataFrame
 
 
 def p6_languages(spark: SparkSession, root: str) -> DataFrame:
-    found = languages(texts_of(spark, root), fit(texts_of(spark, root)))
+    found = languages(spread(texts_of(spark, root)), fit(texts_of(spark, root)))
     return found.select("record_table", "record_id", "item", "lang", F.round("confidence", 4).alias("confidence"), "ambiguous").distinct()
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    found = languages(texts_of(spark, root), fit(texts_of(spark, root)))
+    found = languages(spread(texts_of(spark, root)), fit(texts_of(spark, root)))
     page = F.max(F.when(F.col("item") == -1, F.struct("lang", "label"))).over(W.partitionBy("record_table", "record_id"))
     found = found.select("record_table", "record_id", "item", "lang", "label").distinct().withColumn("page", page)
     wrong = (F.col("item") == -1) & ~F.col("label").eqNullSafe(F.col("lang"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.fmindex import FMIndex
-from pagelake.sources.tables import table
+from pagelake.sources.tables import spread, table
 
 #: Parameters: words of a seed (characters where a script has no spaces), words of a shard, letters of items of a block, the part of an
 #: item that counts as a leak, the least part of a stretch's places that agree, and how far a stretch may shift at a change.
@@ -302,7 +302,7 @@ def removal_spans(found: DataFrame) -> DataFrame:
 
 
 def _found(spark: SparkSession, root: str) -> DataFrame:
-    return leaks(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text"))
+    return leaks(spread(table(spark, root, "documents", "doc_id", "text")), table(spark, root, "eval_items", "item_id", "text"))
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.language import Model, fit, texts_of
 from pagelake.session import cut
-from pagelake.sources.tables import table
+from pagelake.sources.tables import spread, table
 
 #: Parameters: compressed size under the source's dictionary against alone below which a response is a copy; natural logarithms of how far
 #: off the usual length a response is cut if it ends in a mark of omission, its end is open, or it lacks sentences, and in any case; what such a mark adds to the odds; responses
@@ -243,7 +243,7 @@ def corpus_pairs(spark: SparkSession, root: str) -> DataFrame:
     p = table(spark, root, "page_extractions", "extraction_id", "blocks")
     texts = p.select("extraction_id", F.col("blocks.text").alias("texts"), F.explode("blocks").alias("b")).select("extraction_id", F.col("b.id").alias("block_id"), F.col("b.text").alias("source"), _context(F.col("b.text"), F.col("texts")).alias("context"))
     a = t.join(texts, ["extraction_id", "block_id"]).select(F.lit("translated_blocks").alias("record_table"), F.col("translated_id").alias("record_id"), F.lit(0).alias("item"), "source", F.col("translated_text").alias("response"), F.col("target_lang").alias("due"), "context")
-    c = table(spark, root, "corpus_pages", "page_key", "source", "target")
+    c = spread(table(spark, root, "corpus_pages", "page_key", "source", "target"))
     c = c.select("page_key", "target", F.col("source").alias("texts"), F.posexplode("source").alias("item", "source"))
     b = c.select(F.lit("corpus_pages"), "page_key", "item", "source", F.get("target", F.col("item")), F.lit("en"), _context(F.col("source"), F.col("texts")))
     return a.union(b)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.editor import WORDS, Editor, evidence, readings, restoring, step
 from pagelake.session import cut
-from pagelake.sources.tables import table
+from pagelake.sources.tables import spread, table
 
 #: Parameters: how much more frequent a reading must be (by edits), least occurrences and books of a reading, of any reading at all, pages of a sure header, the
 #: ratio up to which a pair is two words, examples of each kind that the editor is fitted on, and readings that may be sent along.
@@ -141,11 +141,12 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 FACTS = "fact string, record_table string, record_id long, item int, book string, a string, b string, n long, m long, told string"
 
 
-def scanned_texts(spark: SparkSession, root: str) -> DataFrame:
-    """(record_table, record_id, item, book, page, kind, first, last, text) of both tables; first: opens the first page that its book has; last: ends its page."""
-    p = table(spark, root, "page_extractions", "extraction_id", "book_id", "page_number", "blocks")
+def scanned_texts(spark: SparkSession, root: str, wide: bool = False) -> DataFrame:
+    """(record_table, record_id, item, book, page, kind, first, last, text) of both tables; first: opens the first page that its book has; last: ends its page; wide: for a pass in Python, on all cores."""
+    wider = spread if wide else lambda df: df
+    p = wider(table(spark, root, "page_extractions", "extraction_id", "book_id", "page_number", "blocks"))
     opening = table(spark, root, "page_extractions", "book_id", "page_number").groupBy("book_id").agg(F.min("page_number").alias("opens"))
-    c = table(spark, root, "corpus_pages", "page_key", "source")
+    c = wider(table(spark, root, "corpus_pages", "page_key", "source"))
     a = p.join(opening, "book_id", "left").select(F.lit("page_extractions").alias("record_table"), F.col("extraction_id").alias("record_id"), "book_id", "page_number", (F.col("page_number") == F.col("opens")).alias("opens"), F.size("blocks").alias("of"), F.posexplode("blocks").alias("item", "b"))
     a = a.select("record_table", "record_id", "item", F.coalesce("book_id", F.lit("")).alias("book"), F.col("page_number").alias("page"), F.col("b.type").alias("kind"), (F.coalesce("opens", F.lit(False)) & (F.col("item") == 0)).alias("first"), (F.col("item") + 1 == F.col("of")).alias("last"), F.col("b.text").alias("text"))
     b = c.select(F.lit("corpus_pages").alias("record_table"), F.col("page_key").alias("record_id"), F.size("source").alias("of"), F.posexplode("source").alias("item", "text"))
@@ -371,10 +372,12 @@ def _words_of(texts: DataFrame) -> DataFrame:
 class Scan:
     """The facts of a set of texts and what follows from them."""
 
-    def __init__(self, texts: DataFrame):
+    def __init__(self, texts: DataFrame, wide: DataFrame | None = None):
+        """``wide``: the same texts on more partitions, for the pass in Python."""
         self.texts = texts if "last" in texts.columns else texts.withColumn("last", F.lit(False))
+        wide = self.texts if wide is None else wide
         self.editor = Editor()
-        self.facts = cut(self.texts.mapInPandas(_facts, FACTS))
+        self.facts = cut(wide.mapInPandas(_facts, FACTS))
         self.words = cut(vocabulary(self.facts))
         pairs = word_readings(self.words, self.facts)
         train_words(self.editor, self.words, pairs)
@@ -443,11 +446,11 @@ def repaired(scan: Scan) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return Scan(scanned_texts(spark, root)).defects()
+    return Scan(scanned_texts(spark, root), scanned_texts(spark, root, wide=True)).defects()
 
 
 def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
-    return repaired(Scan(scanned_texts(spark, root)))
+    return repaired(Scan(scanned_texts(spark, root), scanned_texts(spark, root, wide=True)))
 
 
 QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.fmindex import suffix_array
-from pagelake.sources.tables import table
+from pagelake.sources.tables import spread, table
 
 #: Parameters: words in repeated pairs up to which a page takes an automaton (longer ones a suffix array, with the same result), least and most words of a clause (twice as many where
 #: words are single characters), the share of a clause under a word pair that it repeats, and the two shares of a page.
@@ -203,12 +203,12 @@ def spam_pages(df: DataFrame, key: str, text: str, bare_share: float = BARE_SHAR
 
 
 def p10_pages(spark: SparkSession, root: str) -> DataFrame:
-    pages = spam_pages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    pages = spam_pages(spread(table(spark, root, "documents", "doc_id", "text")), "doc_id", "text")
     return pages.select("doc_id", *(F.round(c, 6).alias(c) for c in ("coverage", "bare", "spam_share")), "is_spam")
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return spam_pages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").where("is_spam").select("doc_id").distinct()
+    return spam_pages(spread(table(spark, root, "documents", "doc_id", "text")), "doc_id", "text").where("is_spam").select("doc_id").distinct()
 
 
 QUERIES = {"p10_found": p10_found, "p10_pages": p10_pages}
