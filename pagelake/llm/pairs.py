@@ -66,7 +66,7 @@ TASK = re.compile(
 OMISSIONS = ("…", "...", " […]", " [", " (", " -", ",", ";")
 #: Closing marks of sentences and of quotations.
 CLOSE, QUOTES = ".!?。！？؟।॥", "\"'”’»)）」』]*_ \n\t ​"
-_SENTENCE = re.compile(r"(?:(?<=[^\W\d_]{4})|(?<=[ऀ-෿]{2})|(?<=[)\d]))[.!?؟]+(?=[\s\"'”’»)]|$)|[。！？।॥]")
+_SENTENCE = re.compile(r"(?=[.!?؟。！？।॥])(?:(?:(?<=[^\W\d_]{4})|(?<=[ऀ-෿]{2})|(?<=[)\d]))[.!?؟]+(?=[\s\"'”’»)]|$)|[。！？।॥])")
 _LABEL = re.compile(r"^[\s>*_#\"'«“„]*(?:[^\W\d_]{3,20}\s?[:：]\s*)?")
 _SCRIPTS = {"Cyrl": re.compile(r"[Ѐ-ӿ]"), "Arab": re.compile(r"[؀-ۿ]"), "Deva": re.compile(r"[ऀ-ॿ]"), "Telu": re.compile(r"[ఀ-౿]"), "Wide": re.compile(r"[぀-鿿]")}
 _OTHER = re.compile(r"[Ѐ-ӿ؀-ۿऀ-ॿఀ-౿぀-鿿]")
