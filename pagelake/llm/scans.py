@@ -51,6 +51,15 @@ def title_key(line: str) -> str:
     return " ".join(t.lower().split())
 
 
+def _stands_alone(line: str, lines: list[str], i: int, full: list[int]) -> bool:
+    """Whether the first of several lines ends by itself: a wrapped line ends where the next word would not have fitted."""
+    after = lines[full[1]].strip()
+    if not (after[0].isupper() or after[0].lower() == after[0].upper()):
+        return False
+    others = max((len(x.rstrip()) for j, x in enumerate(lines) if j != i), default=0)
+    return len(line) + len(after.split()[0]) + 3 <= others
+
+
 def line_kinds(text: str, page: int | None, kind: str | None, first: bool, place: str = "") -> Iterator[tuple[int, str, str, str]]:
     """(line, what, key, features) of the lines that may be furniture.
 
@@ -85,9 +94,8 @@ def line_kinds(text: str, page: int | None, kind: str | None, first: bool, place
             continue
         if _CLOSED.search(line) or line[-1] in ",;:-" + HYPHEN:
             continue
-        cased = [c for c in line if c.isupper() or c.islower()]
         spaced = _SPACED.match(line) and len(line) > 8 and len(line.split()) > 5
-        if spaced or len(cased) > 7 and all(c.isupper() for c in cased) and " " in line:
+        if spaced or line.isupper() and " " in line and sum(map(str.isupper, line)) > 7:
             yield i, "marked", title_key(line), told("marked", ("s" if spaced else "c") + ("t" if first else "") + ("l" if len(line) > 15 else ""))
             continue
         if not (line[0].isupper() or line[0].lower() == line[0].upper()) or not _LETTER.match(line):
@@ -96,11 +104,7 @@ def line_kinds(text: str, page: int | None, kind: str | None, first: bool, place
             what = "title" if first else "alone"
             yield i, what, title_key(line), told(what)
             continue
-        after = lines[full[at + 1]].strip() if at + 1 < len(full) else ""
-        word = after.split()[0] if after else ""
-        # a wrapped line ends where the next word would not have fitted
-        others = max((len(x.rstrip()) for j, x in enumerate(lines) if j != i), default=0)
-        if at == 0 and after and (after[0].isupper() or after[0].lower() == after[0].upper()) and len(line) + len(word) + 3 <= others:
+        if at == 0 and _stands_alone(line, lines, i, full):
             yield i, "opening", title_key(line), told("opening")
         elif len(line) > 5:
             yield i, "within", title_key(line), told("within")
