@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.operators.hierarchy import descendants, edges_of, hierarchy
+from pagelake.operators.hierarchy import descendants, edges_of, hierarchy, subtree_sizes
 from pagelake.sources.tables import table
 
 
@@ -28,6 +28,11 @@ def p7_descendants(spark: SparkSession, root: str) -> DataFrame:
     return descendants(record_edges(spark, root)).withColumnRenamed("graph", "node_table")
 
 
+def p7_subtrees(spark: SparkSession, root: str) -> DataFrame:
+    """How many descendants each node has."""
+    return subtree_sizes(record_edges(spark, root)).withColumnRenamed("graph", "node_table")
+
+
 _EDGES = """e as (
   select distinct * from (
     select 'correction_records' as t, trim(correction_id) as c, trim(supersedes_id) as p from correction_records
@@ -54,5 +59,8 @@ union all select t, n, 'cycle', -1, null from bad""",
 walk(t, n, d, k) as (select t, p, c, 1 from e where p <> c
   union select w.t, w.n, e.c, w.k + 1 from walk w join e on w.t = e.t and w.d = e.p where w.k < 200 and e.c <> w.n)
 select t as node_table, n as node_id, d as descendant_id, min(k)::int as distance from walk group by 1, 2, 3""",
+    "p7_subtrees": f"""with recursive {_EDGES},
+walk(t, n, d) as (select t, p, c from e where p <> c union select w.t, w.n, e.c from walk w join e on w.t = e.t and w.d = e.p where e.c <> w.n)
+select t as node_table, n as node_id, count(*) as subtree from walk group by 1, 2""",
 }
-QUERIES = {"p7_found": p7_found, "p7_hierarchy": p7_hierarchy, "p7_descendants": p7_descendants}
+QUERIES = {"p7_found": p7_found, "p7_hierarchy": p7_hierarchy, "p7_descendants": p7_descendants, "p7_subtrees": p7_subtrees}
