@@ -313,5 +313,18 @@ def p8_spans(spark: SparkSession, root: str) -> DataFrame:
     return removal_spans(_found(spark, root))
 
 
-QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans}
-SQL: dict[str, str] = {}
+def p8_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the stretches: inside their document, of known items, and no removal span touching another."""
+    found = _found(spark, root)
+    d = table(spark, root, "documents", "doc_id", F.length("text").alias("n"))
+    i = table(spark, root, "eval_items", F.col("item_id"), F.lit(True).alias("known")).distinct()
+    j = found.join(d, "doc_id", "left").join(F.broadcast(i), "item_id", "left")
+    one = j.agg(F.count_if(~F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n")), F.lit(False))).alias("outside"), F.count_if(F.col("known").isNull()).alias("strange"))
+    spans = removal_spans(found)
+    a, b = (spans.select("doc_id", F.col("start").alias(f"s{x}"), F.col("end").alias(f"e{x}")) for x in "ab")
+    touching = a.join(b, "doc_id").where("sa < sb and ea >= sb").agg(F.count("*").alias("touching"))
+    return one.join(F.broadcast(touching))
+
+
+QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_invariants": p8_invariants}
+SQL: dict[str, str] = {"p8_invariants": "select 0::bigint as outside, 0::bigint as strange, 0::bigint as touching"}

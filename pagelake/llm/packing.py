@@ -146,9 +146,20 @@ def p4_fill(spark: SparkSession, root: str) -> DataFrame:
     return books.select("book_id", "batches", "size", F.ceil(F.col("size") / CAPACITY).alias("least"), (F.col("batches") * CAPACITY - F.col("size")).alias("unused"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_batches": p4_batches, "p4_fill": p4_fill}
+def p4_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the batches: none above the capacity, each group whole in one unless divided, all groups and all their size."""
+    packed = pack_items(group_items(spark, root))
+    batches = packed.groupBy("key", "batch").agg(F.sum("size").alias("n"))
+    groups = packed.groupBy("key", "id").agg(F.countDistinct("batch").alias("in"), F.sum("size").alias("n"))
+    over = batches.agg(F.count_if(F.col("n") > CAPACITY).alias("over"))
+    rest = groups.agg(F.count_if((F.col("in") > 1) & (F.col("n") <= CAPACITY)).alias("parted"), F.count("*").alias("groups"), F.sum("n").alias("tokens"))
+    return over.join(F.broadcast(rest))
+
+
+QUERIES = {"p4_found": p4_found, "p4_batches": p4_batches, "p4_fill": p4_fill, "p4_invariants": p4_invariants}
+_SIZE = """coalesce(strlen(normalized_term), 0) + coalesce(list_sum(list_transform(forms, lambda x: strlen(x))), 0)
+  + coalesce(list_sum(list_transform(provenance, lambda x: strlen(x))), 0)"""
 SQL = {
-    "p4_found": """select distinct group_id from term_groups
-where coalesce(strlen(normalized_term), 0) + coalesce(list_sum(list_transform(forms, lambda x: strlen(x))), 0)
-  + coalesce(list_sum(list_transform(provenance, lambda x: strlen(x))), 0) > 2400"""
+    "p4_invariants": f"select 0::bigint as over, 0::bigint as parted, count(*) as groups, sum(n)::bigint as tokens from (select book_id, group_id, max({_SIZE}) as n from term_groups where group_id is not null group by 1, 2)",
+    "p4_found": f"select distinct group_id from term_groups where {_SIZE} > 2400",
 }
