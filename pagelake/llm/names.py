@@ -190,26 +190,29 @@ def _given(a: str, b: str) -> bool:
     return bool(NICK.get(a, set()) & NICK.get(b, set()))
 
 
+def _same_bodies(a: Name, b: Name) -> bool:
+    """Whether each word of ``a`` goes with another one of ``b``, at two typos at most."""
+    left, typos = list(b.words), 0
+    for w in a.words:
+        fits = [(0 if w == x else 1, x) for x in left if w == x or min(len(w), len(x)) >= 4 and near(w, x) or w in a.short and x.startswith(w) or x in b.short and w.startswith(x)]
+        if not fits:
+            return False
+        cost, x = min(fits)
+        typos += cost and not (w in a.short or x in b.short)
+        left.remove(x)
+    return typos <= 2
+
+
 def same(a: Name, b: Name) -> bool:
-    """Whether two forms can name the same person or body."""
+    """Whether two forms can name the same person or body; the order of the two makes no difference."""
     if "acronym" in (a.kind, b.kind):
         theirs = {k for k, _, _ in b.keys()}
         return any(k[0] == "@" and k in theirs for k, _, _ in a.keys())
     if a.kind != b.kind:
         return False
     if a.kind == "body":
-        left = list(b.words)
-        if len(left) != len(a.words):
-            return False
-        typos = 0
-        for w in a.words:
-            fits = [(0 if w == x else 1, x) for x in left if w == x or min(len(w), len(x)) >= 4 and near(w, x) or w in a.short and x.startswith(w) or x in b.short and w.startswith(x)]
-            if not fits:
-                return False
-            cost, x = min(fits)
-            typos += cost and not (w in a.short or x in b.short)
-            left.remove(x)
-        return typos <= 2
+        # which word an abbreviation is given to depends on the side that asks, so both may
+        return len(a.words) == len(b.words) and (_same_bodies(a, b) or bool(a.short or b.short) and _same_bodies(b, a))
     if not a.words or not b.words:
         return False
     if len(a.words) > len(b.words):
@@ -245,8 +248,8 @@ def same(a: Name, b: Name) -> bool:
 def _fits(mine: list[str], theirs: list[str], pairs: list[tuple[str, str, int]]) -> bool:
     """Whether each of ``mine`` goes with another one of ``theirs`` at two edits and one nickname at most."""
     if not mine:
-        edited = [x for x, _, c in pairs if c]
-        return len(edited) < 2 or min(map(len, edited)) >= 5
+        edited = [max(len(x), len(y)) for x, y, c in pairs if c]
+        return len(edited) < 2 or min(edited) >= 5
     x = mine[0]
     for k, y in enumerate(theirs):
         cost = 0 if _given(x, y) else _word_cost(x, y)

@@ -168,10 +168,11 @@ def test_edit_metric_and_near():
 def test_names(spark):
     same = [("Dr. Susannah Dokawick", "Dokawick, Sukey"), ("J Misoford", "Johannes Misoford"), ("JR Tisariworth", "Johannes R. Tisariworth"), ("DmitriKamamark", "Dmitri Kamamark"), ("Univ. of Nero, Fac. of Clock Making", "Faculty of Clock Making, University of Nero"), ("N.A.C.G.", "Neta Association of Comparative Grammar"), ("г-н Весути Т.", "Таса Весути"), ("コス・スドタ博士", "スドタ コス")]
     other = [("Dorothy J. Dokawick", "Susannah Dokawick"), ("Neta Association of Printing History", "Neta Association of Comparative Grammar"), ("J. P. Misoford", "Johannes R. Misoford"), ("Mikhail Tirihaven", "Edward Tirihaven")]
+    same += [("R. Mitetastad Acad. of Tidal Res.", "Royal Acad. of Tidal Res. (Mitetastad)"), ("Royal Rirasaburg Academy of Salt Chemistry", "R. Riraaburg Academy of Salt Chemistry")]
     for a, b in same:
-        assert names.same(names.Name(a), names.Name(b)), (a, b)
+        assert names.same(names.Name(a), names.Name(b)) and names.same(names.Name(b), names.Name(a)), (a, b)
     for a, b in other:
-        assert not names.same(names.Name(a), names.Name(b)), (a, b)
+        assert not names.same(names.Name(a), names.Name(b)) and not names.same(names.Name(b), names.Name(a)), (a, b)
     forms = [("b", 1, "Ann Misoford"), ("b", 2, "A. Misoford"), ("b", 3, "Misoford, Ann"), ("b", 4, "Carl Misoford"), ("b", 5, "Rori gauge"), ("b", 6, "Rori-gauge"), ("b", 7, None), ("b", 8, " "), ("c", 9, "Ann Misoford"), ("b", 10, "Ann Misofrod"), (None, 11, "Bo Lee Tan")]
     labelled = [("b", "Rori gauge", "technical_term"), ("b", "Tema gauge", "technical_term"), ("b", "Ann Misoford", "proper_name"), ("b", None, None)]
     f = spark.createDataFrame([*forms, forms[0]], "book string, id long, form string")
