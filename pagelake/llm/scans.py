@@ -444,7 +444,8 @@ def repaired(scan: Scan) -> DataFrame:
     drop = scan.furniture.groupBy(*cols).agg(F.collect_set("line").alias("drop"))
     lines = scan.divided.groupBy(*cols).agg(F.collect_set(F.when(~F.col("divided"), F.col("nth"))).alias("keep"), F.max("divided").alias("hyphen"))
     fixes = scan.misread().select(*cols, "form", "reading").distinct().groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct("form", "reading"))).alias("fixes"))
-    t = scan.texts.where("text is not null").select(*cols, "text").distinct()
+    # on the keys alone, as the joins are: the texts are shuffled once
+    t = scan.texts.where("text is not null").select(*cols, "text").dropDuplicates(list(cols))
     t = t.join(drop, list(cols), "left").join(lines, list(cols), "left").join(fixes, list(cols), "left")
     return t.withColumn("hyphen", F.coalesce("hyphen", F.lit(False))).mapInPandas(_mend, "record_table string, record_id long, item int, text string, damaged boolean")
 
