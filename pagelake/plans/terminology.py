@@ -121,6 +121,13 @@ def near_pages(spark: SparkSession, root: str) -> DataFrame:
     return similar.near_hashes(p, "phash", 5)
 
 
+def near_rescans(spark: SparkSession, root: str) -> DataFrame:
+    """Pages against rescans of them: the same hashes with the last four bits cleared."""
+    p = _pages(spark, root, "phash").where("phash is not null").select("phash")
+    again = p.select(F.concat(F.left("phash", F.length("phash") - 1), F.lit("0")).alias("phash"))
+    return similar.near_hashes(p.union(again), "phash", 5)
+
+
 def semantic_cache(spark: SparkSession, root: str) -> DataFrame:
     p = _pages(spark, root, "sha256", "model", "source_lang", "page_id", "extracted_at")
     old = p.where("extracted_at < '2023-01-01'")
@@ -185,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_occurrences, proper_name_runs, ngram_phrases, technical_terms, candidate_merge, candidate_topk, concept_membership, alias_index, conflicting_categories,
-        glossary_slice, missing_term, projection_scope, selector_overlap_conflict, token_budget_packing, frozen_terminology, glossary_versions, near_pages,
+        glossary_slice, missing_term, projection_scope, selector_overlap_conflict, token_budget_packing, frozen_terminology, glossary_versions, near_pages, near_rescans,
         semantic_cache, overlay_resolution, correction_latest, impact_partition, execution_impact, dangling_links, findings_rollup, interval_union,
     )
 }
@@ -243,6 +250,8 @@ select book_id, group_id, size, batch from r""",
     "frozen_terminology": f"with {_G}, x as (select distinct book_id, concat_ws(chr(9), normalized_term, array_to_string(forms, '|')) as e from g) select book_id, count(*) as entries, sha256(string_agg(e, chr(10) order by e)) as hash from x group by 1",
     "glossary_versions": f"with {_M}, x as (select concat_ws('/', book_id, lower(term)) as concept, arg_min(category, mention_id) as a, arg_max(category, mention_id) as b from m where category is not null group by 1) select concept, a as old, b as new from x where a <> b",
     "near_pages": f"""with {_P}, h as (select distinct lower(phash) as h, ('0x' || phash)::ubigint as v from p where regexp_matches(lower(phash), '^[0-9a-f]{{16}}$'))
+select x.h as a, y.h as b, bit_count(xor(x.v, y.v))::int as distance from h x join h y on x.h < y.h where bit_count(xor(x.v, y.v)) <= 5""",
+    "near_rescans": f"""with {_P}, k as (select phash from p union select left(phash, length(phash) - 1) || '0' from p), h as (select distinct lower(phash) as h, ('0x' || phash)::ubigint as v from k where regexp_matches(lower(phash), '^[0-9a-f]{{16}}$'))
 select x.h as a, y.h as b, bit_count(xor(x.v, y.v))::int as distance from h x join h y on x.h < y.h where bit_count(xor(x.v, y.v)) <= 5""",
     "semantic_cache": f"""with {_P}, a as (select sha256, model, count(distinct page_id) as n, min(page_id) as r from p where extracted_at < '2023-01-01' and page_id is not null group by 1, 2)
 select extraction_id, case when coalesce(n, 0) = 0 then 'miss' when n = 1 then 'hit' else 'ambiguous' end as status, case when n = 1 then r end as result from p left join a using (sha256, model) where extracted_at >= '2023-01-01'""",
