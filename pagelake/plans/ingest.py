@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import ids
 from pagelake.functions.canon import STOP_WORDS, detect_language, escape_xml
 from pagelake.operators import corpus, quality, render
-from pagelake.sources.tables import table
+from pagelake.sources.tables import spread, table
 
 #: The day that parts the history from the pages found now.
 SINCE = "2023-01-01"
@@ -19,8 +19,10 @@ def _pages(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return table(spark, root, "page_extractions", "extraction_id", *columns).dropDuplicates(["extraction_id"])
 
 
-def _blocks(spark: SparkSession, root: str, *keep: str) -> DataFrame:
-    return corpus.blocks(corpus.once(table(spark, root, "page_extractions", "extraction_id", "blocks", *keep), "extraction_id"), "extraction_id", *keep)
+def _blocks(spark: SparkSession, root: str, *keep: str, wide: bool = False) -> DataFrame:
+    """The blocks of all pages; wide: on all cores, for queries that take their words apart."""
+    p = table(spark, root, "page_extractions", "extraction_id", "blocks", *keep)
+    return corpus.blocks(corpus.once(spread(p) if wide else p, "extraction_id"), "extraction_id", *keep)
 
 
 def page_identity(spark: SparkSession, root: str) -> DataFrame:

@@ -280,13 +280,13 @@ def degraded_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 def any_separator_phrases(spark: SparkSession, root: str) -> DataFrame:
     """Phrases whose words any separator parts, by size."""
-    p = terms.phrases(_blocks(spark, root, "book_id"), ["extraction_id", "item"], within="book_id", joins="")
+    p = terms.phrases(_blocks(spark, root, "book_id", wide=True), ["extraction_id", "item"], within="book_id", joins="")
     return p.groupBy("book_id", "size").agg(F.count("*").alias("phrases"), F.sum("blocks").alias("blocks"), F.max("blocks").alias("most"))
 
 
 def frequent_phrases(spark: SparkSession, root: str) -> DataFrame:
     """The phrases themselves, of three words or more in eight blocks or more."""
-    p = terms.phrases(_blocks(spark, root, "book_id"), ["extraction_id", "item"], least=3, within="book_id")
+    p = terms.phrases(_blocks(spark, root, "book_id", wide=True), ["extraction_id", "item"], least=3, within="book_id")
     return p.where("blocks >= 8").select("book_id", "phrase", "size", "blocks")
 
 

@@ -30,17 +30,17 @@ def term_occurrences(spark: SparkSession, root: str) -> DataFrame:
 
 
 def proper_name_runs(spark: SparkSession, root: str) -> DataFrame:
-    runs = terms.name_runs(_blocks(spark, root, "book_id"), ["book_id", "extraction_id", "item"])
+    runs = terms.name_runs(_blocks(spark, root, "book_id", wide=True), ["book_id", "extraction_id", "item"])
     return runs.groupBy("book_id", "phrase", "size").agg(F.count("*").alias("runs"))
 
 
 def ngram_phrases(spark: SparkSession, root: str) -> DataFrame:
-    p = terms.phrases(_blocks(spark, root, "book_id"), ["book_id", "extraction_id", "item"], within="book_id")
+    p = terms.phrases(_blocks(spark, root, "book_id", wide=True), ["book_id", "extraction_id", "item"], within="book_id")
     return p.groupBy("book_id", "size").agg(F.count("*").alias("phrases"), F.sum("blocks").alias("blocks"), F.max("blocks").alias("most"))
 
 
 def technical_terms(spark: SparkSession, root: str) -> DataFrame:
-    t = terms.technical_words(_blocks(spark, root), ["extraction_id", "item"])
+    t = terms.technical_words(_blocks(spark, root, wide=True), ["extraction_id", "item"])
     return t.groupBy("word", "kind").agg(F.count("*").alias("blocks"))
 
 
