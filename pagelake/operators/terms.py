@@ -142,19 +142,23 @@ def terms_in_texts(terms: DataFrame, texts: DataFrame, book: str, term: str, tex
     """Rows of ``terms`` with the ``block`` keys of the texts of their book that have the term as a word, case aside.
 
     Only (book, word, block) is shuffled to meet the terms by their longest word, never a text for each of its words. A term of one
-    word is then found; for the others the texts that may have one are fetched once and checked.
+    word is then found; for the others the texts that may have one are fetched once and checked. Spark takes exploded words and texts for
+    as small as their files, so the joins ask for shuffles: else the driver would gather them for a broadcast.
     """
     low = F.lower(F.col(term))
     longest = F.array_max(F.transform(words(low), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     t = terms.where(F.col(term).isNotNull()).withColumn("_w", longest).where("_w is not null").withColumn("_one", low == F.col("_w"))
-    held = texts.where(F.col(text).isNotNull())
-    x = held.select(book, *block, F.explode(F.array_distinct(words(F.lower(F.col(text))))).alias("_w"))
-    met = t.join(x, [book, "_w"])
-    columns = [*terms.columns, *block]
-    once = held.select(*[F.col(c).alias(f"_{c}") for c in block], F.lower(F.col(text)).alias("_t"))
-    same = [met[c] == once[f"_{c}"] for c in block]
-    many = met.where("not _one").join(once, same).where(F.size(term_positions(F.col("_t"), low)) > 0)
-    return met.where("_one").select(*columns).unionByName(many.select(*columns))
+    held = texts.where(F.col(text).isNotNull() & F.col(book).isNotNull())
+    # books go by 128 bits of hash, as their ids would be most of what the words cost
+    of = [F.xxhash64(book).alias("_a"), F.xxhash64(F.lit(SALTS), book).alias("_b")]
+    x = held.select(*of, *block, F.array_distinct(words(F.lower(F.col(text)))).alias("_w")).withColumn("_w", F.explode("_w"))
+    met = t.select("*", *of).join(x.hint("merge"), ["_a", "_b", "_w"])
+    # the book is a key too, so that both sides read the same columns of the texts and share what is shuffled before
+    keys = [book, *block]
+    once = held.select(*[F.col(c).alias(f"_{c}") for c in keys], F.lower(F.col(text)).alias("_t"))
+    same = [met[c].eqNullSafe(once[f"_{c}"]) for c in keys]
+    found = met.join(once.hint("merge"), [~met["_one"], *same], "left").where(F.col("_one") | (F.size(term_positions(F.col("_t"), low)) > 0))
+    return found.select(*terms.columns, *block)
 
 
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:

@@ -133,6 +133,15 @@ def test_terms_in_texts_by_brute_force(spark):
     assert rows(terms.terms_in_texts(t, x, "book", "term", "text", ["i"]).select("g", "i")) == [(1, 1), (2, 1)]
 
 
+def test_terms_in_texts_gathers_nothing_in_the_driver(spark, tmp_path):
+    """Tables of small files hold many words; Spark would broadcast them by the size of the files."""
+    spark.createDataFrame([("b", 1, "Sea wall"), ("b", 2, "wall"), ("b", 3, "a sea")], "book string, g int, term string").write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([("b", 1, "A sea WALL here"), ("b", 2, "a wall, a sea")], "book string, i int, text string").write.parquet(f"{tmp_path}/x")
+    hit = terms.terms_in_texts(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/x"), "book", "term", "text", ["i"]).select("g", "i")
+    assert "Broadcast" not in hit._jdf.queryExecution().executedPlan().toString()
+    assert rows(hit) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
+
+
 @pytest.mark.parametrize("radius", [0, 3, 5])
 def test_near_hashes_are_exact(spark, radius):
     rng = random.Random(radius)
