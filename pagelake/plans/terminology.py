@@ -83,7 +83,7 @@ def missing_term(spark: SparkSession, root: str) -> DataFrame:
     g = _groups(spark, root).select("book_id", "group_id", "normalized_term").where("normalized_term rlike '[\\\\p{L}\\\\p{N}_]'")
     b = _blocks(spark, root, "book_id").select("book_id", "extraction_id", "item", "text")
     hit = terms.terms_in_texts(g, b, "book_id", "normalized_term", "text", ["extraction_id", "item"])
-    return g.join(hit.select("group_id"), "group_id", "left_anti").select("group_id")
+    return g.join(hit.select("group_id").hint("merge"), "group_id", "left_anti").select("group_id")
 
 
 def projection_scope(spark: SparkSession, root: str) -> DataFrame:

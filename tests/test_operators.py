@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import canon, ids
 from pagelake.operators import corpus, graph, intervals, memo, models, overlays, quality, render, similar, terms
+from pagelake.plans import terminology
 from pagelake.sources import files
 
 
@@ -142,6 +143,12 @@ def test_terms_in_texts_gathers_nothing_in_the_driver(spark, tmp_path):
     assert rows(hit) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
 
 
+def test_missing_term_broadcasts_repeated_ids_only(spark, data):
+    plan = terminology.missing_term(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert all("extraction_id" in x.split("],")[0] and "[_" not in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+    assert "group_id" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 @pytest.mark.parametrize("radius", [0, 3, 5])
 def test_near_hashes_are_exact(spark, radius):
     rng = random.Random(radius)
