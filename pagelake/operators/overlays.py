@@ -45,9 +45,16 @@ def overlapping(rows: DataFrame, group: list[str], ident: str, value: str, selec
 
 
 def scoped(rows: DataFrame, selectors: str, targets: DataFrame, target: str) -> DataFrame:
-    """Rows with at least one selector among the targets (a semi join through the exploded selectors), each once."""
-    hit = rows.select("id", F.explode(F.array_distinct(selectors)).alias(target)).join(targets.select(target).distinct(), target, "left_semi").select("id").distinct()
-    return rows.join(hit, "id", "left_semi")
+    """Rows with at least one selector among the targets (a semi join through the exploded selectors), each once.
+
+    Selectors meet by 128 bits of hash. Spark takes exploded targets for as small as their files, so the joins ask for
+    shuffles: else the driver would gather them for a broadcast.
+    """
+    key = [F.xxhash64(target).alias("_a"), F.xxhash64(F.lit("target"), target).alias("_b")]
+    asked = rows.select("id", F.explode(F.array_distinct(selectors)).alias(target)).where(F.col(target).isNotNull()).select("id", *key)
+    known = targets.where(F.col(target).isNotNull()).select(*key).distinct()
+    hit = asked.join(known.hint("merge"), ["_a", "_b"], "left_semi").select("id").distinct()
+    return rows.join(hit.hint("merge"), "id", "left_semi")
 
 
 def narrow(base: Column, taken: Column) -> Column:

@@ -89,7 +89,7 @@ def missing_term(spark: SparkSession, root: str) -> DataFrame:
 def projection_scope(spark: SparkSession, root: str) -> DataFrame:
     """Candidates with a declared block of their book that a term group has as provenance."""
     c = _candidates(spark, root).select(F.col("candidate_id").alias("id"), F.expr("transform(coalesce(declared_block_ids, array()), x -> concat(book_id, '/', x))").alias("scope"))
-    g = _groups(spark, root).select("book_id", F.explode("provenance").alias("b")).select(F.concat_ws("/", "book_id", "b").alias("target"))
+    g = _groups(spark, root).select("book_id", F.explode("provenance").alias("b")).select(F.concat("book_id", F.lit("/"), "b").alias("target"))
     return overlays.scoped(c, "scope", g, "target").select(F.col("id").alias("candidate_id"))
 
 

@@ -149,6 +149,14 @@ def test_missing_term_broadcasts_repeated_ids_only(spark, data):
     assert "group_id" in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_scoped_gathers_nothing_in_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1, ["a", "b"]), (2, ["c", None]), (3, [None]), (4, None), (5, ["b", "b"])], "id int, s array<string>").write.parquet(f"{tmp_path}/r")
+    spark.createDataFrame([(["b", "x", None],), (["b"],)], "t array<string>").write.parquet(f"{tmp_path}/t")
+    got = overlays.scoped(spark.read.parquet(f"{tmp_path}/r"), "s", spark.read.parquet(f"{tmp_path}/t").select(F.explode("t").alias("t")), "t").select("id")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == [(1,), (5,)]
+
+
 @pytest.mark.parametrize("radius", [0, 3, 5])
 def test_near_hashes_are_exact(spark, radius):
     rng = random.Random(radius)
