@@ -10,6 +10,7 @@ documents below a cut that is found from bucket totals, so nothing but aggregate
 from __future__ import annotations
 
 import base64
+import warnings
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from pagelake.session import cut
 from pagelake.sources.tables import spread, table
 
-#: Parameters: vocabulary file (each executor must have it), buckets of the seeded choice, seed, patterns that the driver may hold, and uses with a cost of their own.
+#: Parameters: vocabulary file (each executor must have it), buckets of the seeded choice, seed, patterns above which a warning is given, and uses with a cost of their own.
 TOKENIZER, BUCKETS, SEED, PATTERNS, STEPS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 1_024, 7, 10_000, 32
-#: The word pattern of the public byte-level vocabulary.
+#: What stands for all sources without a target, the word pattern of the public byte-level vocabulary.
+OTHER = "\0"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict[str, object] = {}
 
@@ -117,19 +119,20 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = SEED, buckets: int = BU
     tokens, share, short): short says that even max_repeats uses of all its records stay below the target, told by the quota
     that the flow leaves open. The mixture is as large as all records together. Null sizes count 0; records of no known
     source add to the total but are not used; a null text is one of its own; a null max_repeats is 1; repeated target rows count once;
-    without records all shares are 0. Only (pattern, source) totals reach the driver; beyond ``patterns`` patterns (counted) a
-    text that several sources have is told apart by source, so there are no more patterns than sources.
+    without records all shares are 0. Only (pattern, source) totals reach the driver. Sources without a target count as one in the
+    patterns, so their number follows the targets, not the records; above ``patterns`` of them (counted) there is a warning only.
     """
     spark = docs.sparkSession
-    d = cut(docs.select("id", F.coalesce("source", F.lit("")).alias("source"), "text", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
+    goals = {r[0]: (r[1] or 0.0, 1 if r[2] is None else r[2]) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").distinct().collect()}
+    source = F.coalesce("source", F.lit(""))
+    d = cut(docs.select("id", F.when(source.isin(list(goals)), source).otherwise(OTHER).alias("source"), "text", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
     # only texts of several sources are joined back; that is told from one row a text and source
     several = d.where("text is not null").groupBy("text").agg(F.min("source").alias("lo"), F.max("source").alias("hi"), F.array_sort(F.collect_set("source")).alias("pattern"), F.max("size").alias("one")).where("lo < hi")
     several = cut(several.select("text", "pattern", "one"))
-    if several.select("pattern").distinct().count() > patterns:
-        several = several.limit(0)
+    if (n := several.select("pattern").distinct().count()) > patterns:
+        warnings.warn(f"{n} patterns of sources go to the driver", stacklevel=2)
     d = d.join(several.select("text", "pattern"), "text", "left").withColumn("pattern", F.coalesce("pattern", F.array("source")))
     d = cut(d.select("id", "source", "pattern", "size"))
-    goals = {r[0]: (r[1] or 0.0, 1 if r[2] is None else r[2]) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").distinct().collect()}
     room: dict[tuple[str, ...], dict[str, int]] = {}
     for p, s, n in d.groupBy("pattern", "source").agg(F.sum("size")).collect():
         room.setdefault(tuple(p), {})[s] = n

@@ -162,6 +162,19 @@ def test_a_shared_text_is_used_once_before_any_is_used_twice(spark):
     assert {(r.id, r.source, r.uses) for r in mixing.mix(d, t)[0].collect()} == {(3, "a", 1), (2, "b", 1), (4, "b", 1)}
 
 
+def test_mixture_does_not_depend_on_the_number_of_patterns(spark):
+    d = _records(spark, [(1, "a", "one", 10), (2, "b", "one", 10), (3, "a", "two", 10), (4, "b", "three", 10), (5, "b", "four", 10), (6, "c", "four", 10), (7, "y", "five", 10), (8, "z", "five", 10)])
+    t = spark.createDataFrame([("a", 0.125, 2), ("b", 0.25, 2), ("c", 0.125, 2)], "source string, target_share double, max_repeats int")
+    with pytest.warns(UserWarning, match="2 patterns"):
+        mixture, shares = mixing.mix(d, t, patterns=1)
+    text = {1: "one", 2: "one", 3: "two", 4: "three", 5: "four", 6: "four"}
+    used = [text[r.id] for r in mixture.collect() for _ in range(r.uses)]
+    assert sorted(used) == ["four", "one", "three", "two"]
+    whole = mixing.mix(d, t)
+    assert sorted(map(tuple, mixture.collect())) == sorted(map(tuple, whole[0].collect()))
+    assert sorted(map(tuple, shares.collect())) == sorted(map(tuple, whole[1].collect()))
+
+
 def test_short_follows_the_flow(spark, monkeypatch):
     d = _records(spark, [(1, "a", "x", 10), (2, "b", "y", 90)])
     t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
